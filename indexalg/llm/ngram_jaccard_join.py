@@ -48,6 +48,8 @@ from .words import SPACED, U, mix, shingles_of, slices, words_of
 SKETCH_WORDS = 8
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: So many ids (16 bytes each) of documents to be checked are broadcast; more are joined by sort and merge, which moves all texts.
+BROADCAST_IDS = 2_000_000
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _SET_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in _SKETCH)
 
@@ -270,6 +272,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their whole shingle sets."""
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         lists = cut(base.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lambda rows: _shingle_lists(rows, width), "rep long, shingles binary"))
         both = pairs.join(lists.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(lists.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         return cut(both.select("a", "b", "x", "y").mapInArrow(lambda rows: _linked(rows, threshold), "a long, b long").distinct())
