@@ -1,8 +1,70 @@
-"""The corpus pipeline: stages over documents, each a DataFrame to a DataFrame."""
+"""From raw documents to training shards, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from indexalg.llm.decontamination import decontaminated
+from indexalg.llm.jump_sharding import assign_shards
+from indexalg.llm.ngram_jaccard_join import one_of_each_class
+from indexalg.llm.quality_classifier import classify, fit_classifier, rated
+from indexalg.llm.shared import fresh_folder, table
+from indexalg.llm.source_mixing import mix_sources
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that are less likely good than not, by a model of the rated ones."""
+    model = fit_classifier(docs, rated(table(spark, sf_dir, "labels")))
+    return classify(docs, model).where("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class of near copies."""
+    return one_of_each_class(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents; cuts the passages out of those with traces."""
+    clean = decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix of sources takes it: not at all, once or twice."""
+    mixed = mix_sources(docs).where("taken > 0")
+    return mixed.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Assigns every row to one of 8 shards."""
+    return assign_shards(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: The first stage trains a classifier, which SQL cannot; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        folder = fresh_folder(spark, f"stage-{k + 1}")
+        out.write.parquet(folder)
+        docs = spark.read.parquet(folder)

@@ -336,3 +336,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     group = cut(group.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     some = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2")
     return some.join(group, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
+    """`docs` without those whose class has a smaller doc_id.
+
+    All rows with a null doc_id stay; of rows that share a doc_id one stays.
+    """
+    classes = cut(jaccard_components(docs, doc_id, text, threshold, width).select(F.col("doc_id").alias("near_id"), F.col("component_id").alias("near_first")))
+    gone = classes.where("near_first < near_id").select("near_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("near_id"), "left_anti")
+    again = cut(classes.where("near_id IS NOT NULL").groupBy("near_id").count().where("count > 1").select("near_id"))
+    if again.isEmpty():
+        return left
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    same = F.col(doc_id).cast("long") == F.col("near_id")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))

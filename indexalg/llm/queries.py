@@ -10,6 +10,7 @@ from .decontamination import contamination
 from .jump_sharding import assign_shards
 from .ngram_jaccard_join import jaccard_components
 from .pseudo_likelihood import pseudo_likelihoods
+from .quality_classifier import classify, fit_classifier, rated
 from .shared import table
 from .source_mixing import mix_sources
 from .token_counts import token_counts
@@ -18,6 +19,12 @@ from .transport_stream import media_column, media_features
 from .warc_archive import archived
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grades of all documents under a model of the rated ones; keep: more likely good than not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, fit_classifier(docs, rated(table(spark, sf_dir, "labels")))).drop("text")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 5-word shingle sets link at 80 percent."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -72,6 +79,7 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_ids": op3_token_ids,
     "op4_warc": op4_warc,
