@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,19 @@ from .files import NewFile, RangeReader
 from .shared import cut, fresh_folder
 
 END_ID = 0
-#: Where a space follows other white space the library sees the whole text.
-_ODD = re.compile(r"[\s᠎] ")
-#: Entries of the worker's cache of encoded words; when full, those after the first CORE go.
-CACHE, CORE = 400_000, 200_000
+#: Entries of a worker's cache of encoded words; when full, those after the first CORE go.
+CACHE, CORE = 1_000_000, 500_000
+
+
+#: Signs that end a word; after a letter or digit the pre-tokenizer sees a run of them on its own.
+_SIGNS = ".,;:!?*&%$#|)"
+_LETTERS = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7)))
+
+_VISIBLE = _LETTERS.union(_SIGNS)
+
+
+def _blank(c: str) -> bool:
+    return c.isspace() or c == "\u180e"
 
 
 class WordEncoder:
@@ -27,9 +36,11 @@ class WordEncoder:
 
     The library's pre-tokenizer never joins a space to what stands before it,
     so a text falls apart before each single space, and the library's ids of
-    the pieces, joined, are its ids of the text. Pieces are encoded once and
-    remembered. Texts with special tokens' strings or with a space after other
-    white space go to the library whole.
+    the pieces, joined, are its ids of the text. A piece falls apart further
+    around a single line feed between visible characters, and between a word
+    and the signs that end it. Parts are encoded by the library once and
+    remembered. Texts with special tokens' strings, or with a space after other
+    white space, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -39,42 +50,98 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.ids: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.feed = self._encode(["\n"])[0]
+        #: with a space before them; None stands for pieces that may not be cut from a space after them
+        self.ids: dict[str, bytes | None] = {}
+        self.core: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
-        """Each piece with a space before it: encoded as one text and cut where a token begins with a space, which only a piece's first can."""
+    def _encode_joined(self, pieces: list[str], mark: str) -> list[bytes]:
+        """Each piece with the mark before it: encoded as one text and cut where a token begins with the mark, which only a piece's first can."""
         if not pieces:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+        ids = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.opens[ids] if mark == " " else ids == np.frombuffer(self.feed, "<u4")[0]) * 4).tolist()
         if len(cuts) != len(pieces):
-            return self._encode([f" {p}" for p in pieces])
+            return self._encode([mark + p for p in pieces])
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
+    @staticmethod
+    def _stem(word: str) -> str:
+        stem = word.rstrip(_SIGNS)
+        return stem if stem and stem[-1] in _LETTERS else word
+
+    def _learn_bare(self, words: set[str]) -> None:
+        """Words without a space before them."""
+        new = list(words.difference(self.bare))
+        plain = [w for w in new if "\n" not in w and not _blank(w[0]) and not _blank(w[-1])]
+        self.bare.update((w, ids[len(self.feed) :]) for w, ids in zip(plain, self._encode_joined(plain, "\n"), strict=True))
+        other = [w for w in new if w not in self.bare]
+        self.bare.update(zip(other, self._encode(other), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Pieces with a space before them."""
+        ids, parts = self.ids, {}
+        plain = [p for p in new if p[-1:] in _VISIBLE and "\n" not in p]
+        if len(plain) < len(new):
+            for p in new.difference(plain):
+                if not p or _blank(p[-1]):
+                    ids[p] = None
+                elif "\n" in p and all(x and not _blank(x[0]) and not _blank(x[-1]) for x in p.split("\n")):
+                    parts[p] = p.split("\n")
+                else:
+                    plain.append(p)
+        words = plain + [x[0] for x in parts.values() if x[0] not in ids]
+        stems = [w.rstrip(_SIGNS) for w in words]
+        stems = [t if t[-1:] in _LETTERS else w for t, w in zip(stems, words, strict=True)]
+        need = list(set(stems).difference(ids))
+        ids.update(zip(need, self._encode_joined(need, " "), strict=True))
+        ended = [(w, t, w[len(t) :]) for w, t in zip(words, stems, strict=True) if w is not t]
+        self._learn_bare({x[2] for x in ended}.union(*(x[1:] for x in parts.values())))
+        bare = self.bare
+        for w, t, e in ended:
+            ids[w] = ids[t] + bare[e]
+        for p, x in parts.items():
+            ids[p] = self.feed.join([ids[x[0]], *(bare[y] for y in x[1:])])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.core and len(self.ids) > CORE:
             self.core = dict(self.ids)
         if len(self.ids) > CACHE:
             self.ids = dict(self.core)
-        if len(self.first) > CACHE:
-            self.first.clear()
-        pieces = [None if _ODD.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = list({p for x in pieces if x for p in x[1:] if p not in self.ids})
-        self.ids.update(zip(new, self._encode_spaced(new), strict=True))
-        new = list({x[0] for x in pieces if x and x[0] not in self.first})
-        self.first.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, x in zip(texts, pieces, strict=True) if x is None]))
-        at = self.ids.__getitem__
-        return [next(whole) if x is None else self.first[x[0]] + b"".join(map(at, x[1:])) for x in pieces]
-
-
-def _groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        if len(self.bare) > CORE:
+            self.bare = {"": b""}
+        pieces = [t.split(" ") for t in texts]
+        heads = [x.pop(0) for x in pieces]
+        tails = [x.pop() if x and x[-1][-1:].isspace() else None for x in pieces]
+        distinct = set().union(*pieces)
+        self._learn(distinct.difference(self.ids))
+        self._learn_bare(set(heads))
+        # looking up in a small dictionary is faster, and most pieces stand in the texts many times
+        at, out = dict(zip(distinct, map(self.ids.__getitem__, distinct), strict=True)).__getitem__, []
+        for t, x, head, tail in zip(texts, pieces, heads, tails, strict=True):
+            whole = any(s in t for s in self.special) or (len(head) < len(t) and head != "" and _blank(head[-1]))
+            if not whole:
+                try:
+                    out.append(self.bare[head] + b"".join(map(at, x)) + (b"" if tail is None else self._encode([f" {tail}"])[0]))
+                    continue
+                except TypeError:  # a None: the library sees the text as it is
+                    pass
+            out.append(self._encode([t])[0])
+        return out
+
+
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
+def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for hi, t in enumerate(texts):
         size += len(t)
@@ -89,11 +156,11 @@ def _written(rows: Iterator[pa.RecordBatch], vocabulary: str, folder: str, kind:
     encoder = writer = out = None
     for batch in rows:
         keys = batch.column(0)
-        for lo in range(0, batch.num_rows, 256):
-            texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
+        for lo in range(0, batch.num_rows, 1024):
+            texts = [t or "" for t in batch.column(1).slice(lo, 1024).to_pylist()]
             for a, b in _groups(texts):
                 if writer is None:
-                    encoder, out = WordEncoder(vocabulary), NewFile(folder, ".planes")
+                    encoder, out = word_encoder(vocabulary), NewFile(folder, ".planes")
                     writer = PlaneWriter(out, kind)
                     least = keys[0].as_py()
                 end = np.array([END_ID], "<u4").tobytes()
