@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,7 +138,12 @@ class WordEncoder:
 
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker.
+
+    Its work is lists of strings, which the cyclic garbage collector would look
+    through again and again without finding anything.
+    """
+    gc.set_threshold(1_000_000, 50, 50)
     return WordEncoder(path)
 
 
