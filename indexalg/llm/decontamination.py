@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .files import NewFile, RangeReader
 from .fm_index import FMIndex
 from .shared import fresh_folder
+from .tidy import tidy
 from .words import ALNUM, LOWER, slices, text_buffers, word_spans, words_of
 
 WINDOW = 13
 #: Words of a shard; one more text of any length may follow the last.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text in a block of windows.
 BLOCK_BYTES = 32 << 20
 #: Located at once.
@@ -185,6 +186,7 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+@tidy
 def _reported(rows: Iterator[pa.RecordBatch], folder: str, paths: list[str], shard_words: int, share: int) -> Iterator[pa.RecordBatch]:
     for batches, count, hit, pairs in _shards(rows, "text", folder, paths, shard_words):
         end = np.cumsum(count)
@@ -227,6 +229,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:].tobytes()]).decode()
 
 
+@tidy
 def _cleaned(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list[str], shard_words: int, share: int) -> Iterator[pa.RecordBatch]:
     for batches, count, hit, _ in _shards(rows, text, folder, paths, shard_words):
         end, row = np.cumsum(count), 0

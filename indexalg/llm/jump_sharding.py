@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
+from .tidy import tidy
 from .words import mix
 
 ROWS_PER_RANGE = 200_000
@@ -42,6 +43,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return b
 
 
+@tidy
 def _placed(rows: Iterator[pa.RecordBatch], shards: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         null = np.asarray(batch.column(0).is_null().to_numpy(zero_copy_only=False))

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut
+from .tidy import tidy
 from .words import SPACED, U, mix, shingles_of, slices, words_of
 
 SKETCH_WORDS = 8
@@ -160,6 +161,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64), pa.int64())
 
 
+@tidy
 def _digests(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch, values, each in _sets(rows, width):
         sketch = sketches(values, each)
@@ -167,6 +169,7 @@ def _digests(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", *_SKETCH])
 
 
+@tidy
 def _signed(rows: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch, values, each in _sets(rows, width):
         sig, owner = signatures(values, each, threshold)
@@ -174,6 +177,7 @@ def _signed(rows: Iterator[pa.RecordBatch], width: int, threshold: float) -> Ite
         yield pa.RecordBatch.from_arrays([_long(sig), _long(ids[owner])], ["sig", "rep"])
 
 
+@tidy
 def _shingle_lists(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch, values, each in _sets(rows, width):
         end = np.cumsum(each)
@@ -181,6 +185,7 @@ def _shingle_lists(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lists, pa.binary())], ["rep", "shingles"])
 
 
+@tidy
 def _parities(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A sketch as in sketches(), but of about two bits an element."""
     for batch, values, each in _sets(rows, width):
@@ -192,6 +197,7 @@ def _parities(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _long(each), pa.array(out, pa.binary())], ["rep", "n", "parity"])
 
 
+@tidy
 def _near(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     """Of (a, b, n, x, m, y) those pairs that sketches x and y don't rule out."""
     for batch in rows:
@@ -209,6 +215,7 @@ def _near(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBat
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+@tidy
 def _linked(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Of (a, b, x, y) those pairs whose shingle lists x and y link."""
     for batch in rows:
@@ -221,6 +228,7 @@ def _linked(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Recor
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+@tidy
 def _crossed(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within each block that sketches don't rule out.
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .files import NewFile, RangeReader
 from .shared import cut, fresh_folder
+from .tidy import tidy
 from .words import SPACED, mix, slices, words_of
 
 CLASSES = MEMBERS = 64
@@ -162,6 +163,7 @@ def contexts(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -201,6 +203,7 @@ def _stored(folder: str, path: str) -> object:
     return pickle.loads(raw)
 
 
+@tidy
 def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = _stored(folder, path)
     network, sums = Network(weights), {k: np.full_like(v, 1e-3 if k == "embed" else 1e-4) for k, v in weights.items()}
@@ -242,6 +245,7 @@ def _model_row(n: int, w: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"".join(w[k].tobytes() for k in _NAMES)], pa.binary())], ["n", "model"])
 
 
+@tidy
 def _averaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = None, 0
     for batch in rows:
@@ -283,6 +287,7 @@ def train_model(docs: DataFrame, text: str = "text") -> tuple[str, str]:
     return folder, path
 
 
+@tidy
 def _scored(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = _stored(folder, path)
     network = Network(weights)

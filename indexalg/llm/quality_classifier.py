@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .tidy import tidy
 from .words import ALNUM, LOWER, SPACED, _BYTE, _pow, mix, slices, word_spans
 
 BUCKETS = 1 << 20
@@ -175,6 +176,7 @@ def rated(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
 
 
+@tidy
 def _featured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, off in slices(rows, "text"):
         buckets, each = features(data, off)
@@ -206,6 +208,7 @@ def fit_classifier(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id",
 _ADDED = ["expected_grade", "tail_probability", "keep"]
 
 
+@tidy
 def _scored(rows: Iterator[pa.RecordBatch], text: str, model: OrdinalModel | None, least: float) -> Iterator[pa.RecordBatch]:
     for batch, data, off in slices(rows, text):
         n = batch.num_rows

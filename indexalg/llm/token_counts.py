@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tidy import tidy
+
 #: Bytes of a chunk and of the first overlap tried.
 CHUNK, OVERLAP = 32_768, 512
 _MARK = "▁"
@@ -82,6 +84,7 @@ class Counter:
         return total + len(starts) - first
 
 
+@tidy
 def _counted(rows: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     counter = None
     for batch in rows:

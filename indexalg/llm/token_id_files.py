@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .bit_planes import PlaneReader, PlaneWriter
 from .files import NewFile, RangeReader
 from .shared import cut, fresh_folder
+from .tidy import tidy
 
 END_ID = 0
 #: Entries of a worker's cache of encoded words; when full, those after the first CORE go.
@@ -158,6 +159,7 @@ def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
+@tidy
 def _written(rows: Iterator[pa.RecordBatch], vocabulary: str, folder: str, kind: str) -> Iterator[pa.RecordBatch]:
     encoder = writer = out = None
     for batch in rows:
@@ -197,6 +199,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")), folder
 
 
+@tidy
 def _read(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tidy import tidy
+
 PACKET = 188
 PMT_PID, ES_PID = 0x1000, 0x100
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
@@ -161,6 +163,7 @@ def demux(stream: bytes) -> Stream:
     return Stream(b"".join(parts), program, stream_type, times, points, lost)
 
 
+@tidy
 def _muxed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for lo in range(0, batch.num_rows, 512):
@@ -178,6 +181,7 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_muxed, "doc_id long, n_bytes long, media binary")
 
 
+@tidy
 def _featured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         out = []

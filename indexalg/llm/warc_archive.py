@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .files import NewFile, RangeReader
 from .shared import cut, fresh_folder
+from .tidy import tidy
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed at so many bytes.
@@ -206,6 +207,7 @@ class _Archive:
         return self.out.close()
 
 
+@tidy
 def _packed(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     archive, done = None, []
     for batch in rows:
@@ -240,6 +242,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return paths, folder
 
 
+@tidy
 def _listed(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in rows:
