@@ -1,0 +1 @@
+"""Functions of Columns and of tables of lines."""

@@ -59,7 +59,7 @@ def split_lines(lines: DataFrame, pattern: str, position: str = "both", ignore_c
     by = {"before": "\u0001$1", "after": "$1\u0001", "both": "\u0001$1\u0001"}[position]
     parts = F.split(F.regexp_replace("line", found, by), "\u0001")
     others = [c for c in lines.columns if c not in ("line", "sub_no")]
-    return lines.select(*others, F.posexplode(F.filter(F.transform(parts, F.trim), lambda x: x != "")).alias("sub_no", "line"))
+    return lines.select(*others, F.posexplode(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")).alias("sub_no", "line"))
 
 
 def canonical(c: Column) -> Column:
@@ -103,7 +103,7 @@ def declared_symbol(c: Column) -> Column:
     name = F.regexp_extract(text, r"^\s*([A-Za-z_]\w*)", 1)
     dims = F.regexp_extract(text, r"^\s*[A-Za-z_]\w*\s*\(([^()]*)\)", 1)
     descr = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z_]\w*\s*(\([^()]*\))?", ""))
-    return F.when(name != "", F.struct(name.alias("name"), F.filter(F.transform(F.split(dims, ","), F.trim), lambda x: x != "").alias("dims"), F.nullif(descr, F.lit("")).alias("descr")))
+    return F.when(name != "", F.struct(name.alias("name"), F.filter(F.transform(F.split(dims, ","), lambda x: F.trim(x)), lambda x: x != "").alias("dims"), F.nullif(descr, F.lit("")).alias("descr")))
 
 
 def symbol_kind(mode: Column, dims: Column) -> Column:
@@ -113,7 +113,7 @@ def symbol_kind(mode: Column, dims: Column) -> Column:
 
 def alias_groups(c: Column) -> Column:
     """All (a, b, ...) of at least two names, as an array of arrays."""
-    groups = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^()]*)\)"), 1), lambda g: F.transform(F.split(g, ","), F.trim))
+    groups = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^()]*)\)"), 1), lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x)))
     return F.filter(groups, lambda g: F.size(g) > 1)
 
 

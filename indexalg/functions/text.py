@@ -208,7 +208,7 @@ def split_indexed(c: Column, name: str) -> Column:
 
 
 def split_top_level_args(c: Column) -> Column:
-    return F.transform(split_top_level(c, ","), F.trim)
+    return F.transform(split_top_level(c, ","), lambda x: F.trim(x))
 
 
 def is_expression(c: Column) -> Column:

@@ -86,6 +86,8 @@ def _merged(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
 class Compiler:
     def __init__(self, bindings: Bindings):
         self.bound = bindings
+        #: cells that conditions around the present node leave; others don't matter to it
+        self.around: list[Term] = []
 
     # --- tables of symbols
 
@@ -141,7 +143,11 @@ class Compiler:
         return Term(t.df.withColumn(VALUE, F.lit(1.0)), t.dims) if t.df is not None else Term(None, (), t.scalar.cast("double"))
 
     def space(self, dims: tuple[str, ...]) -> DataFrame:
-        """All combinations of the members of the indices' sets."""
+        """All combinations of the members of the indices' sets, or those that the conditions around leave."""
+        for t in reversed(self.around):
+            if set(dims) <= set(t.dims):
+                df = t.df.select(*dims)
+                return df if len(dims) == len(t.dims) else df.distinct()
         return reduce(lambda a, b: a.crossJoin(b), (self.bound.over(d) for d in dims))
 
     def spread(self, t: Term, dims: tuple[str, ...]) -> Term:
@@ -157,7 +163,6 @@ class Compiler:
         dims = dims if dims is not None else t.dims
         if t.df is None or not dims:
             return t
-        t = self.spread(t, tuple(d for d in dims if d not in t.dims) and dims)
         cells = cells if cells is not None else self.space(dims)
         return Term(cells.join(t.df, list(t.dims), "left").withColumn(VALUE, F.coalesce(VALUE, F.lit(0.0))), dims)
 
@@ -204,6 +209,16 @@ class Compiler:
 
     # --- nodes
 
+    def within(self, condition: Term | None, node: Node) -> Term:
+        """A node's value, as far as a condition holds."""
+        if condition is None or condition.df is None or not condition.dims:
+            return self.term(node)
+        self.around.append(condition)
+        try:
+            return self.term(node)
+        finally:
+            self.around.pop()
+
     def term(self, node: Node) -> Term:
         return getattr(self, f"_{node.kind}", self._unknown)(node)
 
@@ -287,8 +302,8 @@ class Compiler:
         return Term((t.df.join(c.df, on) if on else t.df.crossJoin(c.df)).select(*dims, *([] if t.logical else [VALUE])), dims, logical=t.logical)
 
     def _when(self, node: Node) -> Term:
-        condition = self.term(node.get("condition"))
-        t = self.restrict(self.value(self.term(node.get("then"))), condition)
+        condition = self.truth(self.term(node.get("condition")))
+        t = self.restrict(self.value(self.within(condition, node.get("then"))), condition)
         if (other := node.get("otherwise")) is None:
             return t
         rest = self.restrict(self.value(self.term(other)), self._unary_not(condition))
@@ -314,7 +329,7 @@ class Compiler:
 
     def _reduce(self, name: str, index: Node, value: Node) -> Term:
         over, condition = self.index_space(index)
-        t = self.term(value)
+        t = self.within(condition, value)
         if name in ("sand", "sor"):
             t = self.value(self.truth(t))
         t = self.value(t)
@@ -325,10 +340,11 @@ class Compiler:
                 t = self.restrict(t, condition)
             t = self.spread(t, _merged(t.dims, over))
         else:
-            cells = self.space(dims)
-            if condition is not None:
-                cells = self.restrict(Term(cells, dims, logical=True), condition).df
-            t = self.dense(self.spread(t, dims), dims, cells)
+            if condition is not None and condition.df is not None:
+                cells = self.spread(condition, dims).df.select(*dims)
+            else:
+                cells = self.space(dims) if condition is None else self.space(dims).where(condition.scalar)
+            t = self.dense(t, dims, cells)
         agg = {
             "sum": F.sum(VALUE),
             "prod": F.product(VALUE),
@@ -370,17 +386,20 @@ class Compiler:
     def equation(self, node: Node) -> DataFrame:
         """dims, lhs, rhs, relation, residual (lhs - rhs) and holds, for every cell of the equation's domain."""
         dims = tuple(index_name(d) for d in node.dims)
-        lhs, rhs = (self.value(self.term(node.get(s))) for s in ("lhs", "rhs"))
+        around = None
+        if dims and (domain := node.get("domain")) is not None:
+            around = self.truth(self.term(domain))
+        lhs, rhs = (self.value(self.within(around, node.get(s))) for s in ("lhs", "rhs"))
         extra = [d for d in _merged(lhs.dims, rhs.dims) if d not in dims]
         if extra:
             raise CompileError(f"indices {extra} of equation {node.name} are not controlled")
         cells = None
         if dims:
-            cells = self.space(dims)
-            if (domain := node.get("domain")) is not None:
-                c = self.truth(self.term(domain))
-                # the domain's own cells, where it has all indices; else the product of sets, restricted
-                cells = c.df.select(*dims) if c.df is not None and set(c.dims) == set(dims) else self.restrict(Term(cells, dims, logical=True), c).df
+            # the domain's own cells, spread over the indices it lacks
+            if around is None or around.df is None:
+                cells = self.space(dims) if around is None else self.space(dims).where(around.scalar)
+            else:
+                cells = self.spread(around, _merged(around.dims, dims)).df.select(*dims).distinct()
 
         def side(t: Term, name: str) -> Callable[[DataFrame], DataFrame]:
             def add(df: DataFrame) -> DataFrame:

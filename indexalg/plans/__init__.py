@@ -1,0 +1 @@
+"""Rewrites of trees, and trees as text."""

@@ -1,0 +1 @@
+"""Texts to tokens, trees and tables."""

@@ -22,7 +22,7 @@ from .parser import Registry, parse_equation
 DECLARATIONS = {"set": "set", "sets": "set", "alias": "alias", "aliases": "alias", "parameter": "parameter", "parameters": "parameter", "scalar": "scalar", "scalars": "scalar", "table": "table", "variable": "variable", "variables": "variable", "equation": "equation", "equations": "equation", "model": "model", "models": "model"}
 VARIABLE_TYPES = ("free", "positive", "negative", "binary", "integer", "nonnegative")
 _OPEN = re.compile(rf"\s*(?:({'|'.join(VARIABLE_TYPES)})\s+)?({'|'.join(DECLARATIONS)})\b", re.IGNORECASE)
-_ENTRY = re.compile(r"\s*,?\s*([A-Za-z_]\w*)\s*(?:\(([^()]*)\))?")
+_ENTRY = re.compile(r"\s*,?\s*([A-Za-z_]\w*)\s*(?:[(\[{]([^()\[\]{}]*)[)\]}])?")
 
 
 @dataclass

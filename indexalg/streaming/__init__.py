@@ -1,0 +1 @@
+"""No streams: models are texts and tables that are read whole."""
