@@ -11,17 +11,23 @@ from .shared import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component: its smallest node) for every node that has a link.
 
-    Contracts the graph: each node moves to its smallest neighbour, links
-    between different targets remain, until none does. Every round is group-bys
-    with partial sums and joins of small rows, so a node with very many links
-    is dealt with like any other; each round's tables are cut off from their
-    lineage. Self-links and repeated links are allowed; no links, no rows.
+    Contracts the graph: each node points to its smallest neighbour, pointers
+    are followed to their ends by doubling, and links between different ends
+    remain, until none does; a chain of n nodes takes one round of log n
+    doublings. Every step is a group-by with partial sums or a join of small
+    rows, so a node with very many links is dealt with like any other; each
+    step's table is cut off from its lineage. Self-links and repeated links are
+    allowed; no links, no rows.
     """
     edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     home = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("to")).withColumnRenamed("a", "node"))
+        moved = True
+        while moved:
+            jump = cut(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select("node", F.col("end").alias("to"), (F.col("end") < F.col("to")).alias("moved")))
+            moved, step = not jump.where("moved").isEmpty(), jump.select("node", "to")
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
