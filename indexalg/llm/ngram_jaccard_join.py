@@ -42,13 +42,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import batches_of, cut
 from .tidy import tidy
 from .words import SPACED, U, mix, shingles_of, slices, words_of
 
 SKETCH_WORDS = 8
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Pairs that go to a worker at once, each with two whole sets.
+PAIR_ROWS = 256
 #: So many ids (16 bytes each) of documents to be checked are broadcast; more are joined by sort and merge, which moves all texts.
 BROADCAST_IDS = 2_000_000
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -319,9 +321,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             return pairs.join(x, "a").join(y, "b").select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
 
         finer = cut(texts().mapInArrow(lambda rows: _parities(rows, width), "rep long, n long, parity binary"))
-        pairs = cut(beside(finer, "n", "parity").mapInArrow(lambda rows: _near(rows, share), "a long, b long").distinct())
-        lists = cut(texts().mapInArrow(lambda rows: _shingle_lists(rows, width), "rep long, shingles binary"))
-        return cut(beside(lists, "shingles").mapInArrow(lambda rows: _linked(rows, threshold), "a long, b long").distinct())
+        with batches_of(docs.sparkSession, PAIR_ROWS):
+            pairs = cut(beside(finer, "n", "parity").mapInArrow(lambda rows: _near(rows, share), "a long, b long").distinct())
+            lists = cut(texts().mapInArrow(lambda rows: _shingle_lists(rows, width), "rep long, shingles binary"))
+            return cut(beside(lists, "shingles").mapInArrow(lambda rows: _linked(rows, threshold), "a long, b long").distinct())
 
     differ = sum((F.bit_count(F.col(f"p{s}").bitwiseXOR(F.col(f"q{s}"))) for s in _SKETCH), F.lit(0))
     star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
