@@ -9,7 +9,7 @@ its tokens' conditional log-probabilities, each token masked in its turn.
 Tokens are lower-cased words. The most frequent words of all documents, counted
 exactly, are tokens of their own; the other words share tokens by hash. Counts
 also give the network's first biases. It is trained in numpy: each task takes
-every SAMPLE-th word of each of its documents (beginning at a place that
+every 16th word of each of its documents (beginning at a place that
 depends on the text), passes once over these by Adagrad, and the tasks' weights
 are averaged in proportion to their words, by a tree of tasks. So counts and
 training windows grow with the corpus, and no task or driver holds more than
@@ -204,7 +204,7 @@ def _stored(folder: str, path: str) -> object:
 
 
 @tidy
-def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str, sample: int) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = _stored(folder, path)
     network, sums = Network(weights), {k: np.full_like(v, 1e-3 if k == "embed" else 1e-4) for k, v in weights.items()}
     waiting, size, n = [], 0, 0
@@ -215,9 +215,9 @@ def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator
         tokens = vocabulary.tokens(words)
         some = np.flatnonzero(count)
         begin = (np.cumsum(count) - count)[some]
-        start = (words[begin] % np.uint64(SAMPLE)).astype(np.int64)
+        start = (words[begin] % np.uint64(sample)).astype(np.int64)
         within = np.arange(len(words)) - np.repeat(begin, count[some])
-        taken = np.flatnonzero((within + np.repeat(start, count[some])) % SAMPLE == 0)
+        taken = np.flatnonzero((within + np.repeat(start, count[some])) % sample == 0)
         waiting.append((contexts(tokens, count)[:, taken], tokens[taken]))
         size += len(taken)
         if size >= 16 * BATCH:
@@ -256,8 +256,8 @@ def _averaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "model"])
 
 
-def train_model(docs: DataFrame, text: str = "text") -> tuple[str, str]:
-    """(folder, path) of the stored vocabulary and weights."""
+def train_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[str, str]:
+    """(folder, path) of the stored vocabulary and weights, trained on every `sample`-th word."""
     spark = docs.sparkSession
     folder = fresh_folder(spark, "pseudo-likelihood")
     rows = docs.select(F.col(text).cast("string").alias("text"))
@@ -269,7 +269,7 @@ def train_model(docs: DataFrame, text: str = "text") -> tuple[str, str]:
     share[TOKENS - RARE :] = max(1, total - share.sum()) / RARE
     vocabulary, network = Vocabulary(np.array([r.word for r in top], np.int64).view(np.uint64)), Network.new(share)
     path = _store(folder, (vocabulary, network.w))
-    models = cut(rows.mapInArrow(lambda batches: _trained(batches, folder, path), "n long, model binary"))
+    models = cut(rows.mapInArrow(lambda batches: _trained(batches, folder, path, sample), "n long, model binary"))
     left = models.count()
     while left > FAN:
         models = cut(models.repartition(-(-left // FAN)).mapInArrow(_averaged, "n long, model binary"))
