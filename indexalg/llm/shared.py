@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset (local tests) a new temporary folder."""
-    sc = spark.sparkContext
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="indexalg-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="indexalg-"))
+    return named or sc.getCheckpointDir()
 
 
 def fresh_folder(spark: SparkSession, what: str) -> str:
