@@ -25,6 +25,7 @@ from .plans.render.text import as_text, show_model
 from .sources.parser import Registry, infer_vtype, parse_equation, parse_expression
 from .sources.reader import include_lines, read_model, read_models
 from .sources.sample import SUPPLY
+from .sources.sinks import text_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,6 +579,23 @@ def net_edges(spark, sf_dir):
     return R.graph_edges(read_models(_texts(spark, sf_dir), "ast_nodes").where("eq = 'eqTotal'")).drop("eq")
 
 
+_DOT = "digraph AST {\nnode [shape=box];\n1 [label=\"==\"];\n2 [label=\"vTotal\"];\n3 [label=\"func: sum\"];\n4 [label=\"index: when\"];\n5 [label=\"cond: mv[r,y]\"];\n9 [label=\"then: [r,y]\"];\n12 [label=\"*\"];\n13 [label=\"cost[r,y]\"];\n17 [label=\"len[y]\"];\n1 -> 2;\n1 -> 3;\n3 -> 4;\n3 -> 12;\n4 -> 5;\n4 -> 9;\n12 -> 13;\n12 -> 17;\n}"
+
+
+@query(f"SELECT model_id, '{_DOT}' AS dot FROM {_MODELS}")
+def net_dot(spark, sf_dir):
+    """A graph's description as text."""
+    return R.dot_lines(read_models(_texts(spark, sf_dir), "ast_nodes").where("eq = 'eqTotal'")).select("model_id", "dot")
+
+
+@query(f"SELECT model_id, 23 AS interim, 1 AS documents FROM {_MODELS}")
+def bulk_lines(spark, sf_dir):
+    """K1, K3, K4: lines of many models, cleaned and rendered anew."""
+    texts = _texts(spark, sf_dir)
+    interim = text_lines(texts, "interim").where("trim(line) <> ''").groupBy("model_id").agg(F.count("*").cast("int").alias("interim"))
+    return interim.join(text_lines(texts, "latex").where("line = '\\\\end{document}'").groupBy("model_id").agg(F.count("*").cast("int").alias("documents")), "model_id")
+
+
 @query(f"SELECT model_id, eq, depth FROM {_MODELS}, (VALUES ('eqTotal', 6), ('eqCap', 6), ('eqShare', 6)) AS t(eq, depth)")
 def tree_depth(spark, sf_dir):
     """R2."""

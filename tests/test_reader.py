@@ -6,6 +6,7 @@ from indexalg.plans.render.gams import model_lines
 from indexalg.plans.render.text import show_model
 from indexalg.sources.reader import SCHEMAS, clean_lines, decode, equation_header, expand_includes, read_model, read_model_files, read_models
 from indexalg.sources.sample import SUPPLY
+from indexalg.sources.sinks import text_lines, write_gams, write_latex, write_lines
 
 
 def test_declarations():
@@ -67,6 +68,19 @@ def test_documents():
     assert [jump.declaration(s) for s in m.of("variable")] == ["@variable(model, vFlow[r in r, y in y] >= 0)  # flow", "@variable(model, vTotal)  # total"]
 
 
+def test_files(spark, tmp_path):
+    m = read_model(SUPPLY, "supply")
+    write_gams(m, str(tmp_path / "m.gms"))
+    assert len(read_model((tmp_path / "m.gms").read_text()).equations) == 3
+    write_latex(m, str(tmp_path / "m.tex"))
+    write_latex(m.equation("eqCap"), str(tmp_path / "m.tex"), append=True)
+    text = (tmp_path / "m.tex").read_text()
+    assert text.count("\\documentclass") == 1 and text.count("\\textbf{eqCap}") == 2
+    lines = text_lines(spark.createDataFrame([("a", SUPPLY), ("b", None)], "model_id string, text string"))
+    write_lines(lines, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out/model_id=a")).collect()] == write_gams(read_model(SUPPLY, "a"))
+
+
 def test_bulk_reading_equals_one_by_one(spark, tmp_path):
     rows = [("a", SUPPLY), ("b", "set i;"), ("c", None), ("d", "")]
     texts = spark.createDataFrame(rows, "model_id string, text string")
