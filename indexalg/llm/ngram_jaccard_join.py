@@ -298,7 +298,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = cut(base.mapInArrow(lambda rows: _digests(rows, width), _SET_SCHEMA))
     reps = cut(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     one = reps.select("rep").distinct()
-    own = base.join(one, F.col("doc_id") == F.col("rep"), "left_semi")
+    # texts of representatives: all but the copies', if the copies' ids are few enough to send, else by a join that moves all texts
+    copies = cut(sets.join(reps, ["k1", "k2"]).where("doc_id <> rep").select("doc_id").distinct().join(one, F.col("doc_id") == F.col("rep"), "left_anti"))
+    some = base.where("doc_id IS NOT NULL")
+    own = some.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= BROADCAST_IDS else some.join(one, F.col("doc_id") == F.col("rep"), "left_semi")
     bucket = Window.partitionBy("sig")
     entries = cut(own.mapInArrow(lambda rows: _signed(rows, width, threshold / 100), "sig long, rep long").select("sig", "rep", F.min("rep").over(bucket).alias("pivot"), F.max("rep").over(bucket).alias("top")).where("pivot < top").drop("top").distinct())
     known = sets.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_SKETCH)
@@ -345,8 +348,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     group = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     group = cut(group.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    some = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2")
-    return some.join(group, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    keyed = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2")
+    return keyed.join(group, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:

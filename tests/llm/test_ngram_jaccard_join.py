@@ -88,6 +88,15 @@ def test_components_match_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    from indexalg.llm import ngram_jaccard_join
+
+    monkeypatch.setattr(ngram_jaccard_join, "BROADCAST_IDS", 0)
+    rows = made_up(3, 120)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     from indexalg.llm import ngram_jaccard_join
 
