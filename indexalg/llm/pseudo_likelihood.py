@@ -8,9 +8,8 @@ its tokens' conditional log-probabilities, each token masked in its turn.
 
 Tokens are lower-cased words. The most frequent words of all documents, counted
 exactly, are tokens of their own; the other words share tokens by hash. Counts
-also give the network's first biases. It is trained in numpy: each task takes
-every 16th word of each of its documents (beginning at a place that
-depends on the text), passes once over these by Adagrad, and the tasks' weights
+also give the network's first biases. It is trained in numpy: each task passes
+once over every word of each of its documents by Adagrad, and the tasks' weights
 are averaged in proportion to their words, by a tree of tasks. So counts and
 training windows grow with the corpus, and no task or driver holds more than
 one model, some thousand counts and FAN models at once.
@@ -38,7 +37,8 @@ RARE = 256
 EDGE = TOKENS  # beyond a document's ends
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 32
-SAMPLE = 16
+#: Of so many words one is a training target: all of them.
+SAMPLE = 1
 BATCH = 1024
 RATE = 0.15
 #: Models averaged by one task.
@@ -46,7 +46,7 @@ FAN = 8
 #: Distinct words a task counts before it hands the counts on.
 COUNTED = 1_000_000
 #: Tokens scored at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 class Network:
@@ -73,63 +73,99 @@ class Network:
         return Network({k: v.astype(np.float32) for k, v in w.items()})
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.w["embed"][0][context[0]]
+        h = self.w["embed"][0].take(context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += self.w["embed"][k][context[k]]
-        return np.tanh(h + self.w["hidden_bias"])
+            h += self.w["embed"][k].take(context[k], axis=0)
+        h += self.w["hidden_bias"]
+        return np.tanh(h, out=h)
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given its context, one row of `context` per offset."""
-        h = self._hidden(context)
-        group, member = token // MEMBERS, token % MEMBERS
-        z = h @ self.w["to_class"] + self.w["class_bias"]
-        out = z[np.arange(len(token)), group] - _log_sum(z)
-        order = np.argsort(group, kind="stable")
-        end = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        order = _order(token)
+        token = token[order]
+        h = self._hidden(context[:, order])
+        group, member, each = token // MEMBERS, token % MEMBERS, np.arange(len(token))
+        z = h @ self.w["to_class"]
+        z += self.w["class_bias"]
+        found = z[each, group]
+        found -= _log_sum(z)
+        z = self.w["member_bias"].take(group, axis=0)
+        end = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         for c in range(CLASSES):
-            own = order[end[c] : end[c + 1]]
-            if len(own):
-                z = h[own] @ self.w["to_member"][c] + self.w["member_bias"][c]
-                out[own] += z[np.arange(len(own)), member[own]] - _log_sum(z)
+            if end[c] < end[c + 1]:
+                z[end[c] : end[c + 1]] += h[end[c] : end[c + 1]] @ self.w["to_member"][c]
+        found += z[each, member]
+        found -= _log_sum(z)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, sums: dict[str, np.ndarray]) -> None:
         """One Adagrad step; `sums` holds the sums of squared gradients."""
         n, w = len(token), self.w
+        order = _order(token)
+        context, token = context[:, order], token[order]
         h = self._hidden(context)
         group, member = token // MEMBERS, token % MEMBERS
-        z = h @ w["to_class"] + w["class_bias"]
-        p = np.exp(z - _log_sum(z)[:, None])
+        p = _shares(h @ w["to_class"] + w["class_bias"])
         p[np.arange(n), group] -= 1
         back = p @ w["to_class"].T
         grad = {"to_class": h.T @ p / n, "class_bias": p.mean(0), "to_member": np.zeros_like(w["to_member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        order = np.argsort(group, kind="stable")
-        end = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[end[c] : end[c + 1]]
-            if len(own):
-                z = h[own] @ w["to_member"][c] + w["member_bias"][c]
-                p = np.exp(z - _log_sum(z)[:, None])
-                p[np.arange(len(own)), member[own]] -= 1
-                grad["to_member"][c] = h[own].T @ p / n
-                grad["member_bias"][c] = p.sum(0) / n
-                back[own] += p @ w["to_member"][c].T
+        # the tokens are in order, so those of a class lie together
+        end = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        own = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(end[:-1], end[1:], strict=True)) if lo < hi]
+        z = w["member_bias"].take(group, axis=0)
+        for c, of in own:
+            z[of] += h[of] @ w["to_member"][c]
+        p = _shares(z)
+        p[np.arange(n), member] -= 1
+        for c, of in own:
+            back[of] += p[of] @ w["to_member"][c].T
+            np.matmul(h[of].T, p[of], out=grad["to_member"][c])
+        grad["to_member"] /= n
+        grad["member_bias"][[c for c, _ in own]] = np.add.reduceat(p, [of.start for _, of in own], axis=0) / n
         back *= (1 - h * h) / n
         grad["hidden_bias"] = back.sum(0)
         for k, g in grad.items():
-            sums[k] += g * g
-            w[k] -= RATE * g / np.sqrt(sums[k] + 1e-8)
+            square = g * g
+            sums[k] += square
+            np.add(sums[k], 1e-8, out=square)
+            g *= RATE
+            g /= np.sqrt(square, out=square)
+            w[k] -= g
         for k in range(len(OFFSETS)):
-            rows, at = np.unique(context[k], return_inverse=True)
-            g = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(g, at, back)
-            sums["embed"][k][rows] += g * g
-            w["embed"][k][rows] -= RATE * g / np.sqrt(sums["embed"][k][rows] + 1e-8)
+            order = _order(context[k])
+            rows = context[k].take(order)
+            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            rows, g = rows.take(first), np.add.reduceat(back.take(order, axis=0), first, axis=0)
+            total = sums["embed"][k].take(rows, axis=0)
+            total += g * g
+            sums["embed"][k][rows] = total
+            total += 1e-8
+            g *= RATE
+            g /= np.sqrt(total, out=total)
+            w["embed"][k][rows] -= g
+
+
+def _order(tokens: np.ndarray) -> np.ndarray:
+    """Of tokens in ascending order; 16 bits are sorted by radix."""
+    return np.argsort(tokens.astype(np.uint16), kind="stable")
+
+
+def _shares(z: np.ndarray) -> np.ndarray:
+    """The probabilities of each row's logits; overwrites `z`."""
+    z -= z.max(1)[:, None]
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
+    """Overwrites `z`."""
     top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return top + np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 class Vocabulary:

@@ -1,5 +1,6 @@
 """Scores against a plain computation, and against predicting by frequency alone."""
 
+import inspect
 import math
 import random
 
@@ -66,6 +67,14 @@ def test_counts_are_exact():
     assert sorted(counted.values()) == [6, 12, 306]
 
 
+def test_every_word_is_a_training_target(spark):
+    rows = ["one two three", "", "just four words here", "long " * 100]
+    folder, path = M.train_model(spark.createDataFrame(enumerate(rows), "doc_id long, text string"))
+    sample = inspect.signature(M.train_model).parameters["sample"].default
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
+    assert sum(n for out in M._trained(iter([batch]), folder, path, sample) for n in out.column(0).to_pylist()) == 107
+
+
 def test_averaging_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(M, "FAN", 2)
     docs = spark.createDataFrame(made_up(3, 120), "doc_id long, text string").repartition(7)
