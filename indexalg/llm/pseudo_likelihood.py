@@ -7,8 +7,16 @@ then the token within its class are predicted. A document's score is the sum of
 its tokens' conditional log-probabilities, each token masked in its turn.
 
 Tokens are lower-cased words. The most frequent words of all documents, counted
-exactly, are tokens of their own; the other words share tokens by hash. Counts
-also give the network's first biases. It is trained in numpy: each task passes
+exactly, are tokens of their own; the other words share tokens by hash, and the
+probability of such a word is its token's times the word's share of the token's
+occurrences: (word's count) / (token's count + 1). A word not seen in training
+counts as 1, so it is never likelier than a rare word that was seen. So every
+distinct word has a probability of its own at any size of the corpus; what is
+bounded is the words with embeddings of their own (TOKENS - RARE): as context,
+the words that share a token are alike. Counts also give the network's first
+biases. Counts of at most KNOWN of the more frequent words go to all tasks; those
+of the others stay a distributed table, to which their occurrences are joined,
+and the logarithms are summed per document. It is trained in numpy: each task passes
 once over every word of each of its documents by Adagrad, and the tasks' weights
 are averaged in proportion to their words, by a tree of tasks. So counts and
 training windows grow with the corpus, and no task or driver holds more than
@@ -22,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import NewFile, RangeReader
@@ -34,6 +43,8 @@ CLASSES = MEMBERS = 64
 TOKENS = CLASSES * MEMBERS
 #: Tokens shared by all words that have none of their own.
 RARE = 256
+#: Words whose counts every task holds (16 bytes each).
+KNOWN = 1 << 18
 EDGE = TOKENS  # beyond a document's ends
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 32
@@ -172,11 +183,28 @@ class Vocabulary:
     """Tokens of word hashes: the frequent words' own, in order of frequency, then RARE shared ones."""
 
     def __init__(self, frequent: np.ndarray):
+        #: Of each shared token, how often its words occur.
+        self.totals = np.zeros(RARE)
+        self.know(frequent[:0], np.zeros(0, np.int64), 0)
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
         self.quick = np.zeros(1 << 16, bool)
         self.quick[(frequent & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def know(self, words: np.ndarray, n: np.ndarray, least: int) -> None:
+        """Takes in all words that occur `least` times or more."""
+        order = np.argsort(words)
+        self.known, self.logs, self.least = words[order], np.log(n[order]), least
+
+    def log_counts(self, words: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' counts; nan for words that occur fewer than `least` times."""
+        out = np.full(len(words), np.nan)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+            ok = self.known[at] == words
+            out[ok] = self.logs[at[ok]]
+        return out
+
     def tokens(self, words: np.ndarray) -> np.ndarray:
         out = TOKENS - RARE + (mix(words) % np.uint64(RARE)).astype(np.int64)
         if len(self.sorted):
@@ -226,6 +254,22 @@ def _merged(words: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[n
     return both, np.bincount(at, weights=np.concatenate((n, k)), minlength=len(both)).astype(np.int64)
 
 
+@tidy
+def _totals(rows: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(shared token, occurrences of its words) of (word, n)."""
+    totals = np.zeros(RARE, np.int64)
+    for batch in rows:
+        token = vocabulary.tokens(batch.column(0).to_numpy().view(np.uint64)) - (TOKENS - RARE)
+        rare = token >= 0
+        np.add.at(totals, token[rare], batch.column(1).to_numpy()[rare])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(totals)], ["token", "n"])
+
+
+def _counts(folder: str) -> str:
+    """Where the table of all words' counts is."""
+    return f"{folder}/counts"
+
+
 def _store(folder: str, what: object) -> str:
     out = NewFile(folder, ".model")
     out.write(pickle.dumps(what))
@@ -297,13 +341,23 @@ def train_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tu
     spark = docs.sparkSession
     folder = fresh_folder(spark, "pseudo-likelihood")
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    counts = cut(rows.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    rows.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(_counts(folder))
+    counts = spark.read.schema("word long, n long").parquet(_counts(folder))
     top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = np.array([r.word for r in top], np.int64).view(np.uint64)
+    totals = np.zeros(RARE)
+    for r in counts.mapInArrow(lambda batches: _totals(batches, Vocabulary(frequent)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        totals[r.token] = r.n
     share = np.zeros(TOKENS)
     share[: len(top)] = [r.n for r in top]
-    share[TOKENS - RARE :] = max(1, total - share.sum()) / RARE
-    vocabulary, network = Vocabulary(np.array([r.word for r in top], np.int64).view(np.uint64)), Network.new(share)
+    share[TOKENS - RARE :] = np.maximum(totals, 1 / RARE)
+    vocabulary, network = Vocabulary(frequent), Network.new(share)
+    vocabulary.totals = totals
+    level = F.floor(F.log2("n"))
+    levels = {r.level: r.words for r in counts.where("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
+    least = min((k for k in [*levels, 62] if sum(m for x, m in levels.items() if x >= k) <= KNOWN))
+    known = counts.where(level >= least).toArrow().combine_chunks()
+    vocabulary.know(known["word"].to_numpy().view(np.uint64), known["n"].to_numpy(), 1 << least)
     path = _store(folder, (vocabulary, network.w))
     models = cut(rows.mapInArrow(lambda batches: _trained(batches, folder, path, sample), "n long, model binary"))
     left = models.count()
@@ -323,10 +377,33 @@ def train_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tu
     return folder, path
 
 
+def _keys(ids: pa.Array, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each row's id and words; rows with the same have the same score."""
+    ids = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).view(np.uint64)
+    within = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + mix(within.astype(np.uint64))), dtype=np.uint64)))
+    end = np.cumsum(count)
+    return mix(mix(ids + np.uint64(1)) + total[end] - total[end - count])
+
+
+@tidy
+def _rare(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+    """(word, key of its row) of each occurrence of a word without a token of its own whose count is not at hand."""
+    vocabulary, _ = _stored(folder, path)
+    for batch, data, off in slices(rows, "text"):
+        words, count = words_of(data, off, SPACED)
+        rare = np.flatnonzero(vocabulary.tokens(words) >= TOKENS - RARE)
+        rare = rare[np.isnan(vocabulary.log_counts(words[rare]))]
+        key = np.repeat(_keys(batch.column(0), words, count), count)[rare]
+        yield pa.RecordBatch.from_arrays([pa.array(words[rare].view(np.int64)), pa.array(key.view(np.int64))], ["word", "key"])
+
+
 @tidy
 def _scored(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = _stored(folder, path)
     network = Network(weights)
+    # the part of a rare word's logarithm that its token tells; the word's count is joined
+    shared = np.concatenate((np.zeros(TOKENS - RARE), -np.log(vocabulary.totals + 1)))
     for batch, data, off in slices(rows, "text"):
         words, count = words_of(data, off, SPACED)
         tokens = vocabulary.tokens(words)
@@ -334,21 +411,33 @@ def _scored(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[
         each = np.zeros(len(tokens))
         for lo in range(0, len(tokens), CHUNK):
             each[lo : lo + CHUNK] = network.log_probabilities(context[:, lo : lo + CHUNK], tokens[lo : lo + CHUNK])
+        each += shared[tokens]
+        rare = np.flatnonzero(tokens >= TOKENS - RARE)
+        each[rare] += np.nan_to_num(vocabulary.log_counts(words[rare]))
         total = np.concatenate(([0.0], np.cumsum(each)))
         end = np.cumsum(count)
         score = np.where(count > 0, total[end] - total[end - count], 0.0)
-        mean = pa.array(np.where(count > 0, score / np.maximum(count, 1), 0.0), mask=count == 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(score), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
+        columns = [batch.column(0), pa.array(_keys(batch.column(0), words, count).view(np.int64)), pa.array(count), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_tokens", "score"])
 
 
 def pseudo_likelihoods(docs: DataFrame, model: tuple[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, log_likelihood, mean_log_probability.
 
     The model is trained on `docs` unless given. log_likelihood sums the natural
-    logarithms of each token's probability given its neighbours. Null and empty
+    logarithms of each word's probability given its neighbours. Null and empty
     texts have no tokens, 0 and a null mean. Keys may be null or repeat; other
     columns are ignored; an empty table gives no rows.
     """
     folder, path = model or train_model(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
+    counts = docs.sparkSession.read.schema("word long, n long").parquet(_counts(folder)).where((F.col("n") > 1) & (F.col("n") < _stored(folder, path)[0].least))
+    rare = rows.mapInArrow(lambda batches: _rare(batches, folder, path), "word long, key long")
+    # words that occur once, and unseen ones, add log 1; repeated rows share a key, whose sum is then theirs together
+    known = rare.join(counts, "word").groupBy("key").agg(F.sum(F.log("n")).alias("logs"))
+    copies = F.count("*").over(Window.partitionBy("key"))
+    scored = rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, key long, n_tokens long, score double")
+    likelihood = F.col("score") + F.coalesce("logs", F.lit(0.0)) / F.col("copies")
+    likelihood = F.when(F.col("n_tokens") > 0, likelihood).otherwise(0.0)
+    out = scored.withColumn("copies", copies).join(known, "key", "left").select("doc_id", "n_tokens", likelihood.alias("log_likelihood"))
+    return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -3,6 +3,7 @@
 import inspect
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,37 @@ def test_every_word_is_a_training_target(spark):
     assert sum(n for out in M._trained(iter([batch]), folder, path, sample) for n in out.column(0).to_pylist()) == 107
 
 
+@pytest.mark.parametrize("known", [1 << 18, 40, 0])
+def test_rare_words_have_probabilities_of_their_own(spark, monkeypatch, known):
+    monkeypatch.setattr(M, "KNOWN", known)
+    r = random.Random(4)
+    kinds = [f"w{k}" for k in range(M.TOKENS + 400)]
+    rows = [(i, " ".join(kinds[int(len(kinds) * r.random() ** 2)] for _ in range(300))) for i in range(60)]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1]), (99, "")]
+    counts = Counter(w for _, t in rows for w in t.split())
+    model = M.train_model(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    vocabulary, w = M._stored(*model)
+    network, of = M.Network(w), {}
+    for word in [*counts, "never-seen"]:
+        of[word] = int(vocabulary.tokens(words_of(*text_buffers(pa.array([word])), SPACED)[0])[0])
+    totals = Counter()
+    for word, n in counts.items():
+        totals[of[word]] += n
+    rare = [word for word in counts if of[word] >= M.TOKENS - M.RARE]
+    assert rare and all(vocabulary.totals[t - M.TOKENS + M.RARE] == totals[t] for t in map(of.get, rare))
+
+    def plain(text):
+        tokens = np.array([of[word] for word in text.split()], np.int64)
+        found = network.log_probabilities(M.contexts(tokens, np.array([len(tokens)])), tokens).astype(float).sum() if len(tokens) else 0.0
+        return found + sum(math.log(max(counts[word], 1) / (totals[of[word]] + 1)) for word in text.split() if of[word] >= M.TOKENS - M.RARE)
+
+    asked = [*rows, (100, " ".join(["never-seen", *rare[:50], rare[0]]))]
+    got = M.pseudo_likelihoods(spark.createDataFrame(asked, "doc_id long, text string").repartition(5), model).collect()
+    key = lambda x: (-1 if x[0] is None else x[0], x[1])
+    for (i, x), (j, y) in zip(sorted(((r.doc_id, r.log_likelihood) for r in got), key=key), sorted(((i, plain(t)) for i, t in asked), key=key), strict=True):
+        assert i == j and x == pytest.approx(y, abs=1e-2)
+
+
 def test_averaging_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(M, "FAN", 2)
     docs = spark.createDataFrame(made_up(3, 120), "doc_id long, text string").repartition(7)
