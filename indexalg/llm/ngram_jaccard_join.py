@@ -28,7 +28,9 @@ Candidates are then checked exactly, without writing out all pairs of a bucket:
 first every member against its bucket's smallest document, which joins large
 groups of near copies; then, in buckets that still hold several components, all
 pairs of different components, in blocks, sifted by parity sketches (the
-sketches of two sets differ in at most d bits, so sifting loses nothing).
+sketches of two sets differ in at most d bits, so sifting loses nothing). Where
+all links are asked for, not only the classes they make, every pair of different
+sets in a bucket is compared so: the links of a class of n sets may be n * n / 2.
 """
 
 from __future__ import annotations
@@ -251,7 +253,7 @@ def _crossed(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Record
             i, j = i + lo, j + lo
             differ = np.zeros(len(i), np.int64)
             for s in _SKETCH:
-                differ += np.bitwise_count(x[s][i] ^ x[s][j])
+                differ += np.bitwise_count((x[s][i] ^ x[s][j]).view(U))  # of a negative number it would count the bits of its absolute value
             n, k = x["n"][i], x["n"][j]
             ok = (np.maximum(differ, np.abs(n - k)) <= share * (n + k) + 1e-9) & (x["rep"][i] != x["rep"][j])
             left.append(x["rep"][i[ok]])
@@ -280,12 +282,11 @@ def _crossed(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Record
         yield done(seen)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, rep, n_links.
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5, all_links: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, rep; with `all_links` also n_links.
 
     `threshold` in percent, 50 to 99. rep is the smallest doc_id with the same
-    set; n_links is the number of links found from rep to other sets (at least
-    one where there is any, not all of them inside large components).
+    set; n_links is the exact number of other, different sets that rep's links to.
     component_id is the smallest doc_id that links reach.
 
     Null and empty texts and texts without words have n_shingles 0 and their
@@ -330,26 +331,32 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             return cut(beside(lists, "shingles").mapInArrow(lambda rows: _linked(rows, threshold), "a long, b long").distinct())
 
     differ = sum((F.bit_count(F.col(f"p{s}").bitwiseXOR(F.col(f"q{s}"))) for s in _SKETCH), F.lit(0))
-    star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
-    links = checked(star)
-
-    label = components(links).withColumnRenamed("node", "rep")
-    named = cut(entries.join(label, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label")))
+    if all_links:
+        links, named = None, entries.select("sig", "rep", F.col("rep").alias("label"))
+    else:
+        star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        star = star.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
+        links = checked(star)
+        label = components(links).withColumnRenamed("node", "rep")
+        named = cut(entries.join(label, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label")))
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high")
     mixed = cut(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
     dealt = named.join(mixed, "sig").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.join(known, "rep").select("sig", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label", "n", *_SKETCH)
     rest = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lambda rows: _crossed(rows, share), "a long, b long").distinct()
-    links = cut(links.union(checked(rest)).distinct())
+    links = checked(rest) if links is None else cut(links.union(checked(rest)).distinct())
 
     label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    group = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    group = cut(group.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    group = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep")]
+    if all_links:
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        group = group.join(degree, "rep", "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    group = cut(group.withColumn("component", F.coalesce("component", "rep")))
     keyed = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2")
-    return keyed.join(group, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return keyed.join(group, ["k1", "k2"], "left").select(*columns)
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:

@@ -88,6 +88,17 @@ def test_components_match_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_all_links_are_counted(spark):
+    passage = [f"p{k}" for k in range(200)]
+    rows = made_up(5, 80) + [(1000 + i, " ".join(passage[i:])) for i in range(12)]
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    different = set(sets.values()) - {frozenset()}
+    want = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in different) if x else 0 for i, x in sets.items()}
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), all_links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     from indexalg.llm import ngram_jaccard_join
 
