@@ -16,11 +16,16 @@ bounded is the words with embeddings of their own (TOKENS - RARE): as context,
 the words that share a token are alike. Counts also give the network's first
 biases. Counts of at most KNOWN of the more frequent words go to all tasks; those
 of the others stay a distributed table, to which their occurrences are joined,
-and the logarithms are summed per document. It is trained in numpy: each task passes
-once over every word of each of its documents by Adagrad, and the tasks' weights
-are averaged in proportion to their words, by a tree of tasks. So counts and
-training windows grow with the corpus, and no task or driver holds more than
-one model, some thousand counts and FAN models at once.
+and the logarithms are summed per document.
+
+Training, in numpy, covers every word once. Documents are turned into tokens and
+dealt to trainers by a hash of their keys and words, in ROUNDS parts; in each
+round every trainer starts from the last round's model, passes once over its
+documents in order of that hash by Adagrad, and the trainers' models are averaged
+in proportion to their words by a tree of tasks. The number of trainers follows
+from the number of words (WORDS each), not from how the table is split into
+tasks, and so does the model, but for the rounding of averages. No task or driver
+holds more than one model, some thousand counts and FAN models at once.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import NewFile, RangeReader
-from .shared import cut, fresh_folder
-from .tidy import tidy
+from .shared import cut, fresh_folder, join_hot
+from .tidy import keep_memory, tidy
 from .words import SPACED, mix, slices, words_of
 
 CLASSES = MEMBERS = 64
@@ -48,10 +53,14 @@ KNOWN = 1 << 18
 EDGE = TOKENS  # beyond a document's ends
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 32
-#: Of so many words one is a training target: all of them.
-SAMPLE = 1
-BATCH = 1024
-RATE = 0.15
+#: Tokens in a step of training; Adagrad's rate and first sum of squares.
+BATCH, RATE, FIRST = 1 << 12, 0.15, 1.0
+#: Parts of the documents between which models are averaged; words of a trainer in a round, about.
+ROUNDS, WORDS = 3, 1_000_000
+#: Tokens of a document that travel in one row.
+PIECE = 1 << 16
+#: Tokens put into random order together.
+SHUFFLED = 1 << 17
 #: Models averaged by one task.
 FAN = 8
 #: Distinct words a task counts before it hands the counts on.
@@ -113,15 +122,17 @@ class Network:
 
     def train(self, context: np.ndarray, token: np.ndarray, sums: dict[str, np.ndarray]) -> None:
         """One Adagrad step; `sums` holds the sums of squared gradients."""
-        n, w = len(token), self.w
+        w = self.w
         order = _order(token)
         context, token = context[:, order], token[order]
         h = self._hidden(context)
-        group, member = token // MEMBERS, token % MEMBERS
-        p = _shares(h @ w["to_class"] + w["class_bias"])
-        p[np.arange(n), group] -= 1
+        group, member, each = token // MEMBERS, token % MEMBERS, np.arange(len(token))
+        z = h @ w["to_class"]
+        z += w["class_bias"]
+        p = _shares(z)
+        p[each, group] -= 1
         back = p @ w["to_class"].T
-        grad = {"to_class": h.T @ p / n, "class_bias": p.mean(0), "to_member": np.zeros_like(w["to_member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        grad = {"to_class": h.T @ p, "class_bias": p.sum(0), "to_member": np.zeros_like(w["to_member"]), "member_bias": np.zeros_like(w["member_bias"])}
         # the tokens are in order, so those of a class lie together
         end = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         own = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(end[:-1], end[1:], strict=True)) if lo < hi]
@@ -129,20 +140,19 @@ class Network:
         for c, of in own:
             z[of] += h[of] @ w["to_member"][c]
         p = _shares(z)
-        p[np.arange(n), member] -= 1
+        p[each, member] -= 1
         for c, of in own:
             back[of] += p[of] @ w["to_member"][c].T
             np.matmul(h[of].T, p[of], out=grad["to_member"][c])
-        grad["to_member"] /= n
-        grad["member_bias"][[c for c, _ in own]] = np.add.reduceat(p, [of.start for _, of in own], axis=0) / n
-        back *= (1 - h * h) / n
+        grad["member_bias"][[c for c, _ in own]] = np.add.reduceat(p, [of.start for _, of in own], axis=0)
+        h *= h
+        back *= np.subtract(1, h, out=h)
         grad["hidden_bias"] = back.sum(0)
         for k, g in grad.items():
             square = g * g
             sums[k] += square
-            np.add(sums[k], 1e-8, out=square)
             g *= RATE
-            g /= np.sqrt(square, out=square)
+            g /= np.sqrt(sums[k], out=square)
             w[k] -= g
         for k in range(len(OFFSETS)):
             order = _order(context[k])
@@ -152,7 +162,6 @@ class Network:
             total = sums["embed"][k].take(rows, axis=0)
             total += g * g
             sums["embed"][k][rows] = total
-            total += 1e-8
             g *= RATE
             g /= np.sqrt(total, out=total)
             w["embed"][k][rows] -= g
@@ -284,25 +293,59 @@ def _stored(folder: str, path: str) -> object:
 
 
 @tidy
-def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str, sample: int) -> Iterator[pa.RecordBatch]:
-    vocabulary, weights = _stored(folder, path)
-    network, sums = Network(weights), {k: np.full_like(v, 1e-3 if k == "embed" else 1e-4) for k, v in weights.items()}
-    waiting, size, n = [], 0, 0
-    for _, data, off in slices(rows, "text"):
+def _dealt(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+    """(part, key, piece, lead, tail, tokens): documents in pieces, each with up to as many tokens of its neighbours as the network looks at.
+
+    `key` is a hash of the row's id and words; a row like one before it in the
+    same slice has a key of its own, so that repeated rows are dealt too.
+    """
+    vocabulary, _ = _stored(folder, path)
+    reach = max(OFFSETS)
+    for batch, data, off in slices(rows, "text"):
         words, count = words_of(data, off, SPACED)
-        if not len(words):
-            continue
-        tokens = vocabulary.tokens(words)
-        some = np.flatnonzero(count)
-        begin = (np.cumsum(count) - count)[some]
-        start = (words[begin] % np.uint64(sample)).astype(np.int64)
-        within = np.arange(len(words)) - np.repeat(begin, count[some])
-        taken = np.flatnonzero((within + np.repeat(start, count[some])) % sample == 0)
-        waiting.append((contexts(tokens, count)[:, taken], tokens[taken]))
-        size += len(taken)
-        if size >= 16 * BATCH:
-            n += _pass(network, sums, waiting)
-            waiting, size = [], 0
+        tokens = vocabulary.tokens(words).astype(np.int16)
+        key = _keys(batch.column(0), words, count)
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        again = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        key[order] = np.where(again > 0, mix(key[order] + again.astype(np.uint64)), key[order])
+        n = -(-count // PIECE)
+        row = np.repeat(np.arange(len(count)), n)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.repeat(np.cumsum(count) - count, n)
+        lo, hi = begin + piece * PIECE, begin + np.minimum((piece + 1) * PIECE, np.repeat(count, n))
+        lead, tail = np.minimum(lo - begin, reach), np.minimum(begin + np.repeat(count, n) - hi, reach)
+        raw = [tokens[a:b].tobytes() for a, b in zip((lo - lead).tolist(), (hi + tail).tolist(), strict=True)]
+        columns = [pa.array((key[row] >> np.uint64(1)).astype(np.int64) % ROUNDS, pa.int32()), pa.array(key[row].view(np.int64)), pa.array(piece, pa.int32()), pa.array(lead, pa.int32()), pa.array(tail, pa.int32()), pa.array(raw, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, _DEALT)
+
+
+_DEALT = ["part", "key", "piece", "lead", "tail", "tokens"]
+
+
+@tidy
+def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+    """(words, model) after one pass over all rows of _dealt(), in their order."""
+    keep_memory()
+    _, weights = _stored(folder, path)
+    network, sums = Network(weights), {k: np.full_like(v, FIRST) for k, v in weights.items()}
+    waiting, size, n = [], 0, 0
+    for batch in rows:
+        lead, tail = (batch.column(k).to_numpy() for k in (3, 4))
+        raw = batch.column(5).cast(pa.large_binary())
+        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 2
+        tokens = np.frombuffer(raw.buffers()[2], np.int16)[off[0] : off[-1]].astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+        off, at = off - off[0], 0
+        while at < len(raw):
+            to = max(at + 1, int(np.searchsorted(off, off[at] + SHUFFLED, side="right")) - 1)
+            own, count = tokens[off[at] : off[to]], np.diff(off[at : to + 1])
+            place = np.arange(len(own)) - np.repeat(off[at:to] - off[at], count)
+            target = np.flatnonzero((place >= np.repeat(lead[at:to], count)) & (place < np.repeat(count - tail[at:to], count)))
+            waiting.append((contexts(own, count)[:, target], own[target]))
+            size, at = size + len(target), to
+            if size >= SHUFFLED:
+                n += _pass(network, sums, waiting)
+                waiting, size = [], 0
     if size:
         n += _pass(network, sums, waiting)
     if n:
@@ -336,12 +379,34 @@ def _averaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "model"])
 
 
-def train_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[str, str]:
-    """(folder, path) of the stored vocabulary and weights, trained on every `sample`-th word."""
+def _average(models: DataFrame) -> tuple[int, np.ndarray | None]:
+    """(words, weights) of all trainers' models, by a tree of tasks of FAN models each."""
+    left = models.count()
+    while left > FAN:
+        models = cut(models.repartition(-(-left // FAN)).mapInArrow(_averaged, "n long, model binary"))
+        left = models.count()
+    total, n = None, 0
+    for r in models.orderBy("n").collect():
+        own = np.frombuffer(r.model, np.float32).astype(np.float64) * r.n
+        total, n = (own if total is None else total + own), n + r.n
+    return n, total / n if n else None
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    at, weights = 0, {}
+    for k in _NAMES:
+        weights[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return weights
+
+
+def train_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[str, str]:
+    """(folder, path) of the stored vocabulary and weights, trained on every word."""
     spark = docs.sparkSession
     folder = fresh_folder(spark, "pseudo-likelihood")
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    rows.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(_counts(folder))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = rows.select("text").mapInArrow(_counted, "word long, n long")
+    found.groupBy("word").agg(F.sum("n").alias("n")).write.parquet(_counts(folder))
     counts = spark.read.schema("word long, n long").parquet(_counts(folder))
     top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()
     frequent = np.array([r.word for r in top], np.int64).view(np.uint64)
@@ -351,29 +416,27 @@ def train_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tu
     share = np.zeros(TOKENS)
     share[: len(top)] = [r.n for r in top]
     share[TOKENS - RARE :] = np.maximum(totals, 1 / RARE)
-    vocabulary, network = Vocabulary(frequent), Network.new(share)
+    vocabulary, weights = Vocabulary(frequent), Network.new(share).w
     vocabulary.totals = totals
     level = F.floor(F.log2("n"))
     levels = {r.level: r.words for r in counts.where("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
     least = min((k for k in [*levels, 62] if sum(m for x, m in levels.items() if x >= k) <= KNOWN))
     known = counts.where(level >= least).toArrow().combine_chunks()
     vocabulary.know(known["word"].to_numpy().view(np.uint64), known["n"].to_numpy(), 1 << least)
-    path = _store(folder, (vocabulary, network.w))
-    models = cut(rows.mapInArrow(lambda batches: _trained(batches, folder, path, sample), "n long, model binary"))
-    left = models.count()
-    while left > FAN:
-        models = cut(models.repartition(-(-left // FAN)).mapInArrow(_averaged, "n long, model binary"))
-        left = models.count()
-    parts = models.collect()
-    if parts:
-        n = sum(r.n for r in parts)
-        flat = (sum(np.frombuffer(r.model, np.float32).astype(np.float64) * r.n for r in parts) / n).astype(np.float32)
-        at, weights = 0, {}
-        for k in _NAMES:
-            size = network.w[k].size
-            weights[k] = flat[at : at + size].reshape(network.w[k].shape)
-            at += size
-        path = _store(folder, (vocabulary, weights))
+    path = _store(folder, (vocabulary, weights))
+    words = int(totals.sum() + sum(r.n for r in top))
+    trainers = max(1, -(-words // (ROUNDS * WORDS)))
+    dealt = f"{folder}/tokens"
+    schema = "part int, key long, piece int, lead int, tail int, tokens binary"
+    rows.mapInArrow(lambda batches, path=path: _dealt(batches, folder, path), schema).write.partitionBy("part").parquet(dealt)
+    for part in range(ROUNDS if words else 0):
+        # hash-partitioned by key: each partition is one trainer's documents, whatever the splits
+        own = spark.read.schema(schema).parquet(dealt).where(F.col("part") == part).select(*_DEALT).repartition(trainers, "key").sortWithinPartitions("key", "piece")
+        models = cut(own.mapInArrow(lambda batches, path=path: _trained(batches, folder, path), "n long, model binary"))
+        n, flat = _average(models)
+        if n:
+            weights = _shaped(flat, weights)
+            path = _store(folder, (vocabulary, weights))
     return folder, path
 
 
@@ -429,15 +492,15 @@ def pseudo_likelihoods(docs: DataFrame, model: tuple[str, str] | None = None, do
     texts have no tokens, 0 and a null mean. Keys may be null or repeat; other
     columns are ignored; an empty table gives no rows.
     """
-    folder, path = model or train_model(docs, text)
+    folder, path = model or train_model(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = docs.sparkSession.read.schema("word long, n long").parquet(_counts(folder)).where((F.col("n") > 1) & (F.col("n") < _stored(folder, path)[0].least))
     rare = rows.mapInArrow(lambda batches: _rare(batches, folder, path), "word long, key long")
     # words that occur once, and unseen ones, add log 1; repeated rows share a key, whose sum is then theirs together
     known = rare.join(counts, "word").groupBy("key").agg(F.sum(F.log("n")).alias("logs"))
-    copies = F.count("*").over(Window.partitionBy("key"))
-    scored = rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, key long, n_tokens long, score double")
-    likelihood = F.col("score") + F.coalesce("logs", F.lit(0.0)) / F.col("copies")
-    likelihood = F.when(F.col("n_tokens") > 0, likelihood).otherwise(0.0)
-    out = scored.withColumn("copies", copies).join(known, "key", "left").select("doc_id", "n_tokens", likelihood.alias("log_likelihood"))
+    scored = cut(rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, key long, n_tokens long, score double"))
+    copies = scored.groupBy("key").agg(F.count("*").alias("copies"))
+    logs = cut(known.join(copies, "key").select("key", (F.col("logs") / F.col("copies")).alias("logs")))
+    likelihood = F.when(F.col("n_tokens") > 0, F.col("score") + F.coalesce("logs", F.lit(0.0))).otherwise(0.0)
+    out = join_hot(scored, logs, ["key"], "left").select("doc_id", "n_tokens", likelihood.alias("log_likelihood"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

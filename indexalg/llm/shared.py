@@ -8,12 +8,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot when it has more rows than this and than one in HOT_SHARE of all; so at most HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 256, 1000
+#: Bytes of the hot keys' rows that are broadcast; beyond, they are joined like the others.
+HOT_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (local tests) a new temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset a new temporary folder, on a local master only."""
     sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="indexalg-"))
     return named or sc.getCheckpointDir()
 
@@ -29,6 +37,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
+    """`left` joined with `right`, which has at most one row for each key; left's hot keys by broadcast, so that no task gets all of one.
+
+    `left` is read several times, so it should be cut. `size` names a column of `right` whose bytes tell the rows' sizes.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("__rows"))
+    most = left.count() // HOT_SHARE
+    hot = cut(counts.where(F.col("__rows") > max(HOT_ROWS, most)).select(*on))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    own = cut(right.join(few, on, "left_semi"))
+    if size and (own.agg(F.sum(F.octet_length(size))).first()[0] or 0) > HOT_BYTES:
+        return left.join(right, on, how)
+    rest = left.join(few, on, "left_anti").join(right, on, how)
+    return rest.unionByName(left.join(few, on, "left_semi").join(F.broadcast(own), on, how))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, lengthened until no column is named so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is computed inside; for rows that are large each."""

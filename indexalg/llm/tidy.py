@@ -18,6 +18,15 @@ def release() -> None:
         pass
 
 
+def keep_memory() -> None:
+    """Lets the allocator reuse blocks of up to 32 MB instead of mapping them anew, which numpy's temporaries of some hundred kB else cost."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def tidy(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
     """A task that releases memory when it ends."""
 

@@ -1,6 +1,5 @@
 """Scores against a plain computation, and against predicting by frequency alone."""
 
-import inspect
 import math
 import random
 from collections import Counter
@@ -22,7 +21,7 @@ def made_up(seed, n):
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = spark.createDataFrame(made_up(1, 900), "doc_id long, text string").repartition(3)
-    return M.train_model(docs, sample=1)
+    return M.train_model(docs)
 
 
 def mean(spark, model, rows):
@@ -68,12 +67,33 @@ def test_counts_are_exact():
     assert sorted(counted.values()) == [6, 12, 306]
 
 
-def test_every_word_is_a_training_target(spark):
-    rows = ["one two three", "", "just four words here", "long " * 100]
-    folder, path = M.train_model(spark.createDataFrame(enumerate(rows), "doc_id long, text string"))
-    sample = inspect.signature(M.train_model).parameters["sample"].default
-    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
-    assert sum(n for out in M._trained(iter([batch]), folder, path, sample) for n in out.column(0).to_pylist()) == 107
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_every_word_is_a_training_target(spark, monkeypatch, piece):
+    monkeypatch.setattr(M, "PIECE", piece)
+    rows = [(1, "one two three"), (2, ""), (3, None), (4, "just four words here"), (5, "long " * 100), (5, "long " * 100), (None, "a b")]
+    folder, path = M.train_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    found = list(M._dealt(iter([batch]), folder, path))
+    assert len({k for b in found for k in b.column(1).to_pylist()}) == 5  # the repeated row too has its own
+    seen = []
+    monkeypatch.setattr(M.Network, "train", lambda self, context, token, sums: seen.append((context, token)))
+    assert sum(n for out in M._trained(iter(found), folder, path) for n in out.column(0).to_pylist()) == 209
+    # each word with the neighbours it has in its whole document
+    vocabulary, want = M._stored(folder, path)[0], Counter()
+    for _, t in rows:
+        words, count = words_of(*text_buffers(pa.array([t], pa.string())), SPACED)
+        tokens = vocabulary.tokens(words)
+        want.update(zip(map(tuple, M.contexts(tokens, count).T.tolist()), tokens.tolist(), strict=True))
+    assert want == Counter(x for context, token in seen for x in zip(map(tuple, context.T.tolist()), token.tolist(), strict=True))
+
+
+def test_the_model_does_not_depend_on_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(M, "WORDS", 5_000)
+    monkeypatch.setattr(M, "FAN", 2)
+    docs = spark.createDataFrame(made_up(5, 400), "doc_id long, text string")
+    held = spark.createDataFrame(made_up(6, 50), "doc_id long, text string")
+    scores = [sorted((r.doc_id, r.log_likelihood / r.n_tokens) for r in M.pseudo_likelihoods(held, M.train_model(docs.repartition(n))).collect()) for n in (4, 64)]
+    assert all(i == j and x == pytest.approx(y, abs=1e-3) for (i, x), (j, y) in zip(*scores, strict=True))
 
 
 @pytest.mark.parametrize("known", [1 << 18, 40, 0])
