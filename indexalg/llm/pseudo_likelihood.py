@@ -57,6 +57,8 @@ WIDTH = 32
 BATCH, RATE, FIRST = 1 << 12, 0.15, 1.0
 #: Parts of the documents between which models are averaged; words of a trainer in a round, about.
 ROUNDS, WORDS = 3, 1_000_000
+#: Up to so many trainers each has a task, beyond a task has so many trainers.
+FEW_TRAINERS, TRAINERS_OF_TASK = 256, 8
 #: Tokens of a document that travel in one row.
 PIECE = 1 << 16
 #: Tokens put into random order together.
@@ -293,8 +295,8 @@ def _stored(folder: str, path: str) -> object:
 
 
 @tidy
-def _dealt(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
-    """(part, key, piece, lead, tail, tokens): documents in pieces, each with up to as many tokens of its neighbours as the network looks at.
+def _dealt(rows: Iterator[pa.RecordBatch], folder: str, path: str, trainers: int = 1) -> Iterator[pa.RecordBatch]:
+    """(part, trainer, key, piece, lead, tail, tokens): documents in pieces, each with up to as many tokens of its neighbours as the network looks at.
 
     `key` is a hash of the row's id and words; a row like one before it in the
     same slice has a key of its own, so that repeated rows are dealt too.
@@ -316,40 +318,62 @@ def _dealt(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[p
         lo, hi = begin + piece * PIECE, begin + np.minimum((piece + 1) * PIECE, np.repeat(count, n))
         lead, tail = np.minimum(lo - begin, reach), np.minimum(begin + np.repeat(count, n) - hi, reach)
         raw = [tokens[a:b].tobytes() for a, b in zip((lo - lead).tolist(), (hi + tail).tolist(), strict=True)]
-        columns = [pa.array((key[row] >> np.uint64(1)).astype(np.int64) % ROUNDS, pa.int32()), pa.array(key[row].view(np.int64)), pa.array(piece, pa.int32()), pa.array(lead, pa.int32()), pa.array(tail, pa.int32()), pa.array(raw, pa.binary())]
+        draw = (key[row] >> np.uint64(1)).astype(np.int64)
+        columns = [pa.array(draw % ROUNDS, pa.int32()), pa.array(draw // ROUNDS % trainers), pa.array(key[row].view(np.int64)), pa.array(piece, pa.int32()), pa.array(lead, pa.int32()), pa.array(tail, pa.int32()), pa.array(raw, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, _DEALT)
 
 
-_DEALT = ["part", "key", "piece", "lead", "tail", "tokens"]
+_DEALT = ["part", "trainer", "key", "piece", "lead", "tail", "tokens"]
 
 
 @tidy
 def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
-    """(words, model) after one pass over all rows of _dealt(), in their order."""
+    """(words, average model) of the trainers whose rows of _dealt() these are, trainer by trainer."""
     keep_memory()
-    _, weights = _stored(folder, path)
-    network, sums = Network(weights), {k: np.full_like(v, FIRST) for k, v in weights.items()}
-    waiting, size, n = [], 0, 0
+    _, start = _stored(folder, path)
+    network, sums, waiting, size, n = Network(start), {}, [], 0, 0
+    total, words = 0.0, 0
+
+    def begin() -> None:
+        nonlocal network, sums, n
+        network, sums, n = Network({k: v.copy() for k, v in start.items()}), {k: np.full_like(v, FIRST) for k, v in start.items()}, 0
+
+    def go() -> None:
+        nonlocal waiting, size, n
+        if size:
+            n += _pass(network, sums, waiting)
+        waiting, size = [], 0
+
+    def end() -> None:
+        nonlocal total, words
+        go()
+        if n:
+            total, words = total + n * _flat(network.w).astype(np.float64), words + n
+
+    now = None
     for batch in rows:
-        lead, tail = (batch.column(k).to_numpy() for k in (3, 4))
-        raw = batch.column(5).cast(pa.large_binary())
+        trainer, lead, tail = (batch.column(k).to_numpy() for k in (1, 4, 5))
+        raw = batch.column(6).cast(pa.large_binary())
         off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 2
         tokens = np.frombuffer(raw.buffers()[2], np.int16)[off[0] : off[-1]].astype(np.int64) if len(raw) else np.zeros(0, np.int64)
         off, at = off - off[0], 0
         while at < len(raw):
+            if now != trainer[at]:
+                end()
+                begin()
+                now = trainer[at]
             to = max(at + 1, int(np.searchsorted(off, off[at] + SHUFFLED, side="right")) - 1)
+            to = min(to, at + int(np.searchsorted(trainer[at:], now, side="right")))
             own, count = tokens[off[at] : off[to]], np.diff(off[at : to + 1])
             place = np.arange(len(own)) - np.repeat(off[at:to] - off[at], count)
             target = np.flatnonzero((place >= np.repeat(lead[at:to], count)) & (place < np.repeat(count - tail[at:to], count)))
             waiting.append((contexts(own, count)[:, target], own[target]))
             size, at = size + len(target), to
             if size >= SHUFFLED:
-                n += _pass(network, sums, waiting)
-                waiting, size = [], 0
-    if size:
-        n += _pass(network, sums, waiting)
-    if n:
-        yield _model_row(n, network.w)
+                go()
+    end()
+    if words:
+        yield _model_row(words, (total / words).astype(np.float32))
 
 
 def _pass(network: Network, sums: dict, waiting: list) -> int:
@@ -364,8 +388,12 @@ def _pass(network: Network, sums: dict, waiting: list) -> int:
 _NAMES = ["embed", "hidden_bias", "to_class", "class_bias", "to_member", "member_bias"]
 
 
-def _model_row(n: int, w: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"".join(w[k].tobytes() for k in _NAMES)], pa.binary())], ["n", "model"])
+def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in _NAMES])
+
+
+def _model_row(n: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "model"])
 
 
 @tidy
@@ -376,7 +404,7 @@ def _averaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.frombuffer(model.as_buffer(), np.float32).astype(np.float64) * k
             total, n = (own if total is None else total + own), n + k
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "model"])
+        yield _model_row(n, (total / n).astype(np.float32))
 
 
 def _average(models: DataFrame) -> tuple[int, np.ndarray | None]:
@@ -426,12 +454,13 @@ def train_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     path = _store(folder, (vocabulary, weights))
     words = int(totals.sum() + sum(r.n for r in top))
     trainers = max(1, -(-words // (ROUNDS * WORDS)))
+    # a task may train several, and hands on their average; how many does not change the model
+    tasks = 4 * trainers if trainers <= FEW_TRAINERS else max(4 * FEW_TRAINERS, trainers // TRAINERS_OF_TASK)
     dealt = f"{folder}/tokens"
-    schema = "part int, key long, piece int, lead int, tail int, tokens binary"
-    rows.mapInArrow(lambda batches, path=path: _dealt(batches, folder, path), schema).write.partitionBy("part").parquet(dealt)
+    schema = "part int, trainer long, key long, piece int, lead int, tail int, tokens binary"
+    rows.mapInArrow(lambda batches, path=path: _dealt(batches, folder, path, trainers), schema).write.partitionBy("part").parquet(dealt)
     for part in range(ROUNDS if words else 0):
-        # hash-partitioned by key: each partition is one trainer's documents, whatever the splits
-        own = spark.read.schema(schema).parquet(dealt).where(F.col("part") == part).select(*_DEALT).repartition(trainers, "key").sortWithinPartitions("key", "piece")
+        own = spark.read.schema(schema).parquet(dealt).where(F.col("part") == part).select(*_DEALT).repartition(tasks, "trainer").sortWithinPartitions("trainer", "key", "piece")
         models = cut(own.mapInArrow(lambda batches, path=path: _trained(batches, folder, path), "n long, model binary"))
         n, flat = _average(models)
         if n:

@@ -74,7 +74,7 @@ def test_every_word_is_a_training_target(spark, monkeypatch, piece):
     folder, path = M.train_model(spark.createDataFrame(rows, "doc_id long, text string"))
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
     found = list(M._dealt(iter([batch]), folder, path))
-    assert len({k for b in found for k in b.column(1).to_pylist()}) == 5  # the repeated row too has its own
+    assert len({k for b in found for k in b.column(2).to_pylist()}) == 5  # the repeated row too has its own
     seen = []
     monkeypatch.setattr(M.Network, "train", lambda self, context, token, sums: seen.append((context, token)))
     assert sum(n for out in M._trained(iter(found), folder, path) for n in out.column(0).to_pylist()) == 209
