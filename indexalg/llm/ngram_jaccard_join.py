@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches_of, cut
+from .shared import batches_of, cut, join_hot, unused
 from .tidy import tidy
 from .words import SPACED, U, mix, shingles_of, slices, words_of
 
@@ -297,10 +297,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     share = (100 - threshold) / (100 + threshold)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = cut(base.mapInArrow(lambda rows: _digests(rows, width), _SET_SCHEMA))
-    reps = cut(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
+    some_sets = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = cut(some_sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     one = reps.select("rep").distinct()
     # texts of representatives: all but the copies', if the copies' ids are few enough to send, else by a join that moves all texts
-    copies = cut(sets.join(reps, ["k1", "k2"]).where("doc_id <> rep").select("doc_id").distinct().join(one, F.col("doc_id") == F.col("rep"), "left_anti"))
+    copies = cut(join_hot(some_sets, reps, ["k1", "k2"]).where("doc_id <> rep").select("doc_id").distinct().join(one, F.col("doc_id") == F.col("rep"), "left_anti"))
     some = base.where("doc_id IS NOT NULL")
     own = some.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= BROADCAST_IDS else some.join(one, F.col("doc_id") == F.col("rep"), "left_semi")
     bucket = Window.partitionBy("sig")
@@ -322,7 +323,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         def beside(table: DataFrame, *columns: str) -> DataFrame:
             x = table.select(F.col("rep").alias("a"), *(F.col(c).alias(f"x_{c}") for c in columns))
             y = table.select(F.col("rep").alias("b"), *(F.col(c).alias(f"y_{c}") for c in columns))
-            return pairs.join(x, "a").join(y, "b").select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
+            # a group's smallest document stands in very many pairs
+            left = join_hot(pairs, x, ["a"], size=f"x_{columns[-1]}")
+            return join_hot(left, y, ["b"], size=f"y_{columns[-1]}", counted=pairs).select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
 
         finer = cut(texts().mapInArrow(lambda rows: _parities(rows, width), "rep long, n long, parity binary"))
         with batches_of(docs.sparkSession, PAIR_ROWS):
@@ -335,42 +338,45 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         links, named = None, entries.select("sig", "rep", F.col("rep").alias("label"))
     else:
         star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        star = star.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
+        star = join_hot(cut(star), side("a", "p"), ["a"]).join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
         links = checked(star)
         label = components(links).withColumnRenamed("node", "rep")
         named = cut(entries.join(label, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label")))
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high")
     mixed = cut(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
-    dealt = named.join(mixed, "sig").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
+    dealt = join_hot(named, mixed, ["sig"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.join(known, "rep").select("sig", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label", "n", *_SKETCH)
     rest = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lambda rows: _crossed(rows, share), "a long, b long").distinct()
     links = checked(rest) if links is None else cut(links.union(checked(rest)).distinct())
 
     label = components(links)
-    group = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    group = join_hot(reps, label.withColumnRenamed("node", "rep"), ["rep"], "left")
     columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep")]
     if all_links:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
         group = group.join(degree, "rep", "left")
         columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     group = cut(group.withColumn("component", F.coalesce("component", "rep")))
-    keyed = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("k1")).alias("k1"), "k2")
-    return keyed.join(group, ["k1", "k2"], "left").select(*columns)
+    grouped = join_hot(some_sets.select("doc_id", "n_shingles", "k1", "k2"), group, ["k1", "k2"], "left").select(*columns)
+    alone = sets.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("rep"))
+    return grouped.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")) if all_links else alone)
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
     """`docs` without those whose class has a smaller doc_id.
 
     All rows with a null doc_id stay; of rows that share a doc_id one stays.
+    Input columns may have any names.
     """
-    classes = cut(jaccard_components(docs, doc_id, text, threshold, width).select(F.col("doc_id").alias("near_id"), F.col("component_id").alias("near_first")))
-    gone = classes.where("near_first < near_id").select("near_id").distinct()
+    near = unused("near_id", docs.columns)
+    classes = cut(jaccard_components(docs, doc_id, text, threshold, width).select(F.col("doc_id").alias(near), F.col("component_id").alias("near_first")))
+    gone = classes.where(F.col("near_first") < F.col(near)).select(near).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("near_id"), "left_anti")
-    again = cut(classes.where("near_id IS NOT NULL").groupBy("near_id").count().where("count > 1").select("near_id"))
+    same = F.col(doc_id).cast("long") == F.col(near)
+    left = docs.join(gone, same, "left_anti")
+    again = cut(classes.where(F.col(near).isNotNull()).groupBy(near).agg(F.count("*").alias("rows")).where("rows > 1").select(near))
     if again.isEmpty():
         return left
     again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    same = F.col(doc_id).cast("long") == F.col("near_id")
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))

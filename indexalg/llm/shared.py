@@ -10,10 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it has more rows than this and than one in HOT_SHARE of all; so at most HOT_SHARE keys are.
-HOT_ROWS, HOT_SHARE = 256, 1000
-#: Bytes of the hot keys' rows that are broadcast; beyond, they are joined like the others.
-HOT_BYTES = 64 << 20
+#: A key is hot when it has more rows than HOT_ROWS; the HOT_KEYS keys with most rows are joined apart.
+HOT_ROWS, HOT_KEYS = 256, 1000
+#: Rows and bytes for the hot keys that are broadcast; beyond, they are joined like the others.
+HOT_MATCHES, HOT_BYTES = 100_000, 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,19 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
-    """`left` joined with `right`, which has at most one row for each key; left's hot keys by broadcast, so that no task gets all of one.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """`left` joined with `right`; left's hot keys by broadcast, so that no task gets all of one.
 
-    `left` is read several times, so it should be cut. `size` names a column of `right` whose bytes tell the rows' sizes.
+    `right` has one row or few for each key; `size` names a column of it whose
+    bytes tell its rows' sizes. Keys are counted in `counted`, by default in
+    `left`, which should be cut, as it is read several times.
     """
-    counts = left.groupBy(*on).agg(F.count("*").alias("__rows"))
-    most = left.count() // HOT_SHARE
-    hot = cut(counts.where(F.col("__rows") > max(HOT_ROWS, most)).select(*on))
-    if hot.isEmpty():
+    rows = (left if counted is None else counted).groupBy(*on).agg(F.count("*").alias("__rows")).where(F.col("__rows") > HOT_ROWS)
+    hot = rows.orderBy(F.desc("__rows"), *on).limit(HOT_KEYS).drop("__rows")
+    found = hot.collect()
+    if not found:
         return left.join(right, on, how)
-    few = F.broadcast(hot)
+    few = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     own = cut(right.join(few, on, "left_semi"))
-    if size and (own.agg(F.sum(F.octet_length(size))).first()[0] or 0) > HOT_BYTES:
+    matches, length = own.agg(F.count("*"), F.sum(F.octet_length(size) if size else F.lit(0))).first()
+    if matches > HOT_MATCHES or (length or 0) > HOT_BYTES:
         return left.join(right, on, how)
     rest = left.join(few, on, "left_anti").join(right, on, how)
     return rest.unionByName(left.join(few, on, "left_semi").join(F.broadcast(own), on, how))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from indexalg.llm.ngram_jaccard_join import jaccard_components, signatures
+from indexalg.llm.ngram_jaccard_join import jaccard_components, one_of_each_class, signatures
 
 
 def shingles(text, width=5):
@@ -123,3 +123,20 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(frame).collect())
     assert got == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (7, 1, 7)]
     assert jaccard_components(frame.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from indexalg.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 1)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
+    rows = made_up(4, 60) + [(1000 + i, "the same text " * 9) for i in range(8)] + [(2000 + i, "") for i in range(4)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_one_of_each_class_takes_any_column_names(spark):
+    rows = [(1, "some words that are the same", 7, "a"), (2, "some words that are the same", 8, "b"), (3, "other words", 9, "c"), (3, "other words", 9, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, near_id long, near_first string")
+    got = one_of_each_class(frame)
+    assert got.columns == frame.columns and sorted((r.doc_id, r.near_id) for r in got.collect()) == [(1, 7), (3, 9)]
