@@ -2,15 +2,19 @@
 
 A text longer than a chunk is encoded in overlapping chunks with offsets. Two
 neighbours are spliced inside their overlap at a boundary that both have and
-that is proven stable: before a space that follows a visible ASCII character.
-No piece of the vocabulary holds the space mark after another character (this
-is checked once per model), so no merge crosses such a place, and what is left
-and right of it is encoded alike in any context. Without such a boundary the
-overlap is widened, up to the whole text.
+that is proven stable from the vocabulary: between two characters that stand
+side by side in no piece, where no merge can cross, and that the model's
+normalisation treats one by one; so what is left and right of the place is
+encoded alike in any context. Before a space such places are found in most
+writing, between characters in writing without spaces. Where a chunk has none
+it grows to twice its size; where the encodings do not agree at one, the overlap
+is widened. So at most a small multiple of the text's bytes is encoded.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +26,8 @@ from .tidy import tidy
 #: Bytes of a chunk and of the first overlap tried.
 CHUNK, OVERLAP = 32_768, 512
 _MARK = "▁"
+#: Bytes looked through at once for a stable place.
+_BLOCK = 4_096
 
 
 class Counter:
@@ -32,16 +38,58 @@ class Counter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.chunk, self.overlap = chunk, overlap
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        self.stable = not any(_MARK in p.lstrip(_MARK) for p in pieces)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        #: characters that stand side by side in a piece
+        self.beside = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
+        #: unknown characters become bytes one by one; else runs of them would be one token
+        self.bytes = any(self.model.is_byte(i) for i in range(len(pieces)))
+        self.known: dict[str, bool] = {}
+        #: bytes given to the model for long texts
+        self.encoded = 0
 
     def counts(self, texts: list[str]) -> list[int]:
-        short = [t for t in texts if len(t) <= self.chunk]
-        found = iter(self.model.encode(short, num_threads=1)) if short else iter(())
-        return [len(next(found)) if len(t) <= self.chunk else self.long(t) for t in texts]
+        short = [len(t) * 4 <= self.chunk or len(t.encode()) <= self.chunk for t in texts]
+        found = iter(self.model.encode([t for t, s in zip(texts, short, strict=True) if s], num_threads=1)) if any(short) else iter(())
+        return [len(next(found)) if s else self.long(t) for t, s in zip(texts, short, strict=True)]
+
+    def _normal(self, text: str) -> str:
+        """`text` as it is normalised inside a text."""
+        return self.model.normalize(f"x{text}x").lstrip(_MARK)[1:-1]
+
+    def apart(self, pair: str) -> bool:
+        """Whether texts are encoded alike left and right of the place between two characters."""
+        found = self.known.get(pair)
+        if found is None:
+            a, b = pair
+            found = not a.isspace() and a != _MARK and (b == " " or not (b.isspace() or b == _MARK or unicodedata.category(b)[0] in "MC" or 0x1100 <= ord(b) <= 0x11FF))
+            if found:
+                x, y = self._normal(a), self._normal(b)
+                found = bool(x and y) and self._normal(pair) == x + y and (x[-1], y[0]) not in self.beside
+                if found and not self.bytes:
+                    found = all(self.model.piece_to_id(c) != self.model.unk_id() for c in (x[-1], y[0]))
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            self.known[pair] = found
+        return found
+
+    def _places(self, raw: bytes, lo: int, hi: int) -> Iterator[int]:
+        """Stable places of the text between two of its bytes, the last first."""
+        while hi > lo:
+            at = max(lo, hi - _BLOCK)
+            while at > lo and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            text, place = raw[at:hi].decode(), hi
+            before = raw[max(0, at - 4) : at].decode(errors="ignore")[-1:]
+            chars = before + text
+            for k in range(len(chars) - 1, 0, -1):
+                place -= len(chars[k].encode())
+                if self.apart(chars[k - 1 : k + 1]):
+                    yield place
+            hi = at
 
     def _starts(self, raw: bytes, at: int, end: int) -> list[int]:
         """Where the pieces of the text raw[at:end] begin in all of raw."""
+        self.encoded += end - at
         return [at + p.begin for p in self.model.encode(raw[at:end].decode(), return_type="proto").pieces]
 
     def long(self, text: str) -> int:
@@ -53,35 +101,34 @@ class Counter:
                 i -= 1
             return min(i, len(raw))
 
-        total, at, end = 0, 0, char(self.chunk)
-        starts = self._starts(raw, at, end)
-        first = 0  # pieces of this chunk before the last splice
-        while end < len(raw):
-            overlap, found = self.overlap, None
-            more_end = char(end + self.chunk)
-            while self.stable:
-                begin = char(max(at, end - overlap))
-                more = self._starts(raw, begin, more_end)
-                places = {p: k for k, p in enumerate(more)}
-                for k in range(len(starts) - 1, first, -1):
-                    p = starts[k]
-                    if p <= begin + 1:
-                        break
-                    if raw[p] == 32 and 33 <= raw[p - 1] <= 126 and starts[k - 1] < p and p in places and more[places[p] - 1] < p:
-                        found = k, places[p]
+        # counted are the pieces before `done`; a chunk goes from `at` to `end`, and no place up to `seen` will do
+        total = at = done = seen = 0
+        size, starts = self.chunk, None
+        while True:
+            end = max(char(at + size), char(min(len(raw), at + 4)))
+            starts = self._starts(raw, at, end) if starts is None else starts
+            first = bisect_left(starts, done) if done else 0
+            if end == len(raw):
+                return total + len(starts) - first
+            for place in self._places(raw, max(seen, done, at), end):
+                k = bisect_left(starts, place)
+                if place <= done or k == len(starts) or starts[k] != place:
+                    continue
+                overlap, begin = self.overlap, None
+                while begin != at:
+                    begin = char(max(at, place - overlap))
+                    more = self._starts(raw, begin, max(char(begin + self.chunk), end))
+                    j = bisect_left(more, place)
+                    if j < len(more) and more[j] == place:
                         break
-                if found or begin == at:
-                    break
-                overlap *= 2
-            if found:
-                total += found[0] - first
-                starts, first, at, end = more, found[1], begin, more_end
-            else:  # no place to splice in this chunk: it grows, from its own start
-                end = more_end if self.stable else len(raw)
-                place = starts[first]
-                starts = self._starts(raw, at, end)
-                first = starts.index(place) if first else 0
-        return total + len(starts) - first
+                    overlap *= 2
+                else:
+                    continue
+                total += k - first
+                at, done, seen, size, starts = begin, place, place, max(self.chunk, end - begin), more
+                break
+            else:
+                seen, size, starts = max(seen, char(end - 1)), 2 * size, None
 
 
 @tidy
