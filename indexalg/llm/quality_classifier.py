@@ -14,9 +14,9 @@ stem), and shape features: in which band lie the shares of signs, capitals,
 digits and bars, overall and in the block of 256 bytes that has most of them,
 of distinct words, and of words that repeat the word before.
 
-The model is fitted in numpy on a bounded sample: at most MAX_RATED labelled
-documents, those first in order of a hash of their key, as long as their texts
-add up to at most MAX_BYTES. Scoring reads every document whole.
+The model is fitted in numpy on a bounded sample of rated documents: the first
+`most_rated` in order of a hash of their key, without those whose text is longer
+than `most_bytes`. Scoring reads every document whole.
 """
 
 from __future__ import annotations
@@ -25,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import cut
 from .tidy import tidy
 from .words import ALNUM, LOWER, SPACED, _BYTE, _pow, mix, slices, word_spans
 
 BUCKETS = 1 << 20
 STEMS = (4, 5, 6)
 GRADES = 3
-MAX_RATED = 8_000
-MAX_BYTES = 64 << 20
+#: Rated documents the model is fitted on, and bytes of the longest of them.
+MOST_RATED, MOST_BYTES = 8_000, 8 << 20
 #: Passes, documents in a step, and of FTRL-Proximal the rate, and what a weight's pull must outweigh to make it other than 0, per root of a document.
 EPOCHS, BATCH, RATE, SPARSE = 20, 16, 1.0, 0.13
 BLOCK = 256
@@ -54,7 +55,8 @@ def _pieces(n: int, word: np.ndarray) -> Iterator[tuple[int, int]]:
     while at < n:
         end = min(n, at + _PIECE)
         while end < n and word[end - 1] and word[end]:
-            end += 1
+            stop = np.flatnonzero(~word[end : end + _PIECE])
+            end = end + int(stop[0]) if len(stop) else min(n, end + _PIECE)
         yield at, end
         at = end
 
@@ -63,11 +65,14 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(features, how many each row has): distinct buckets, row after row."""
     rows = len(off) - 1
     lower = LOWER[data]
-    found, n_words, distinct, again = [], np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    found, n_words, again = [], np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    words, last, last_row = [np.zeros(0, np.uint64)], None, -1
     for a, b in _pieces(len(data), ALNUM[lower]):
         part = lower[a:b]
         lo, hi = np.searchsorted(off, (a, b))
         start, end = word_spans(part, off[lo:hi] - a if hi > lo else np.zeros(0, np.int64), ALNUM)
+        if not len(start):
+            continue
         up, down = _pow(len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
@@ -76,12 +81,15 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         n_words += np.bincount(row.astype(np.int64), minlength=rows)
         repeats = np.flatnonzero((hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1]))
         again += np.bincount(row[repeats].astype(np.int64), minlength=rows)
-        keys = [row << np.uint64(20) | (hashed & np.uint64(BUCKETS - 1))]
+        if hashed[0] == last and row[0] == last_row:  # the word before stands in the piece before
+            again[int(last_row)] += 1
+        last, last_row = hashed[-1], row[-1]
+        words.append(np.unique(row << np.uint64(20) | (hashed & np.uint64(BUCKETS - 1))))
         for k, size in enumerate(STEMS, 1):
             s, r = start[end - start > size], row[end - start > size]
-            keys.append(r << np.uint64(20) | (mix((total[s + size] - total[s]) * down[s] + _SEED[k]) & np.uint64(BUCKETS - 1)))
-        found += [np.unique(x) for x in keys]
-        distinct += np.bincount((found[-len(keys)] >> np.uint64(20)).astype(np.int64), minlength=rows)
+            found.append(np.unique(r << np.uint64(20) | (mix((total[s + size] - total[s]) * down[s] + _SEED[k]) & np.uint64(BUCKETS - 1))))
+    found.append(np.unique(np.concatenate(words)))
+    distinct = np.bincount((found[-1] >> np.uint64(20)).astype(np.int64), minlength=rows)
     length = np.diff(off)
     n = -(-length // BLOCK)
     block = np.repeat(off[:-1] - (np.cumsum(n) - n) * BLOCK, n) + np.arange(int(n.sum())) * BLOCK
@@ -182,34 +190,42 @@ def _featured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, each = features(data, off)
         end = np.cumsum(each)
         lists = [buckets[e - n : e].tobytes() for e, n in zip(end.tolist(), each.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["grade", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], ["rated", "grade", "buckets"])
 
 
-def fit_classifier(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel | None:
-    """A model of `ratings` (doc_id, grade) for `docs`; None if nothing is rated or all alike.
+def fit_classifier(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rated: int = MOST_RATED, most_bytes: int = MOST_BYTES) -> OrdinalModel | None:
+    """A model of `ratings` (doc_id, grade) for `docs`; None if no document is rated, or all rated ones have one grade.
 
-    Null keys and grades are left out. Of repeated ratings of a key the lowest
-    grade counts.
+    Fitted on at most `most_rated` documents of at most `most_bytes` each; a
+    longer one is left out alone. Null keys and grades are left out, too. Of
+    repeated ratings of a key the lowest grade counts, of repeated rated
+    documents the least text. Raises ValueError if there are different grades
+    but the bounds leave one.
     """
     sample = ratings.select(F.col("doc_id").cast("long").alias("rated"), F.col("grade").cast("int").alias("grade")).where("rated IS NOT NULL AND grade IS NOT NULL")
-    sample = sample.groupBy("rated").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("rated"), "rated").limit(MAX_RATED)
-    rows = docs.select(F.col(doc_id).cast("long").alias("rated"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "rated")
-    # at most MAX_RATED keys; a key with very many rows is rated by its first
-    rows = rows.groupBy("rated", "grade").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("rated"), "rated").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_BYTES).select("grade", "text").mapInArrow(_featured, "grade int, buckets binary").collect()
+    # keys without a document must not use up the sample
+    known = docs.select(F.col(doc_id).cast("long").alias("rated"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("bytes"))
+    sample = sample.groupBy("rated").agg(F.min("grade").alias("grade")).join(known.groupBy("rated").agg(F.min("bytes").alias("bytes")), "rated")
+    sample = cut(sample)
+    chosen = cut(sample.where(F.col("bytes") <= most_bytes).drop("bytes").orderBy(F.xxhash64("rated"), "rated").limit(most_rated))
+    rows = docs.select(F.col(doc_id).cast("long").alias("rated"), F.col(text).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    # features are a small part of long texts; a key with very many rows is rated by its first
+    rows = rows.join(F.broadcast(chosen), "rated").groupBy("rated", "grade").agg(F.min("text").alias("text"))
+    found = sorted(rows.select("rated", "grade", "text").mapInArrow(_featured, "rated long, grade int, buckets binary").collect(), key=lambda r: r.rated)
     grades = np.array([r.grade for r in found], np.int64)
     if len(np.unique(grades)) < 2:
+        if sample.agg(F.count_distinct("grade")).first()[0] > 1:
+            raise ValueError("the bounds leave rated documents of one grade only")
         return None
     lists = [np.frombuffer(r.buckets, np.int32) for r in found]
     return OrdinalModel.fit(np.concatenate(lists), np.array([len(x) for x in lists]), grades)
 
 
-_ADDED = ["expected_grade", "tail_probability", "keep"]
+_ADDED = ("expected_grade", "tail_probability", "keep")
 
 
 @tidy
-def _scored(rows: Iterator[pa.RecordBatch], text: str, model: OrdinalModel | None, least: float) -> Iterator[pa.RecordBatch]:
+def _scored(rows: Iterator[pa.RecordBatch], text: str, model: OrdinalModel | None, least: float, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch, data, off in slices(rows, text):
         n = batch.num_rows
         if model is None:
@@ -217,18 +233,18 @@ def _scored(rows: Iterator[pa.RecordBatch], text: str, model: OrdinalModel | Non
         else:
             tails = model.tails(*features(data, off))
             added = [pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *_ADDED])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
 
-def classify(docs: DataFrame, model: OrdinalModel | None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """`docs` with expected_grade, tail_probability (of the highest grade) and keep.
+def classify(docs: DataFrame, model: OrdinalModel | None, text: str = "text", least: float = 0.5, names: tuple[str, str, str] = _ADDED) -> DataFrame:
+    """`docs` with three columns more, by default expected_grade, tail_probability (of the highest grade) and keep.
 
     keep says that the tail probability is at least `least`. Null texts are
     scored like empty ones. Without a model the scores are null and all is
     kept. Input columns named like the added ones are replaced.
     """
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in _ADDED))
-    schema = StructType(docs.schema.fields[:]).add("expected_grade", "double").add("tail_probability", "double").add("keep", "boolean")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in [n.lower() for n in names]))
+    schema = StructType(docs.schema.fields[:]).add(names[0], "double").add(names[1], "double").add(names[2], "boolean")
     # the weights (4 MB) go to the executors as one broadcast variable
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda rows: _scored(rows, text, shared.value, least), schema)
+    return docs.mapInArrow(lambda rows: _scored(rows, text, shared.value, least, names), schema)

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from indexalg.llm import quality_classifier as M
 from indexalg.llm.quality_classifier import OrdinalModel, classify, features, fit_classifier, rated
 from indexalg.llm.words import text_buffers
 
@@ -45,18 +47,114 @@ def test_tails_are_ordered_and_match_the_formula():
     assert np.allclose(model.tails(buckets, each)[0], [1 / (1 + np.exp(-(score + 1))), 1 / (1 + np.exp(-(score - 2)))])
 
 
-def test_features_do_not_depend_on_neighbours_or_pieces(monkeypatch):
-    from indexalg.llm import quality_classifier
+MASK = 2**64 - 1
 
-    rows = ["Abc def $$ abc 12 | x", "", "é" * 300 + " abcdefgh", "abc " * 200]
-    alone = [features(*text_buffers(pa.array([t])))[0].tolist() for t in rows]
-    for piece in (1 << 20, 16):
-        monkeypatch.setattr(quality_classifier, "_PIECE", piece)
-        buckets, each = features(*text_buffers(pa.array(rows)))
-        end = np.cumsum(each)
-        got = [buckets[e - n : e].tolist() for e, n in zip(end, each, strict=True)]
-        if piece == 1 << 20:
-            assert got == alone
+
+def scrambled(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & MASK
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & MASK
+    return x ^ x >> 33
+
+
+def plain_features(text):
+    """Features of one text, byte by byte."""
+    raw = (text or "").encode()
+    low = raw.lower()
+    words, word = [], b""
+    for c in [*low, 32]:
+        if chr(c).isascii() and not chr(c).isalnum():
+            words, word = (words + [word] if word else words), b""
+        else:
+            word += bytes([c])
+
+    def summed(w):
+        return sum(int(M._BYTE[c]) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(w)) & MASK
+
+    bucket = lambda x: x & (M.BUCKETS - 1)
+    distinct = {bucket(scrambled(summed(w))) for w in words}
+    out = set(distinct)
+    for k, size in enumerate(M.STEMS, 1):
+        out |= {bucket(scrambled((summed(w[:size]) + int(M._SEED[k])) & MASK)) for w in words if len(w) > size}
+    n, shapes = len(words), []
+    band = lambda x: int((x * 144) ** 0.5)
+    for test in (lambda c: M._SIGN[c], lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: c == 124):
+        hits = [int(test(c)) for c in raw]
+        shapes.append(band(sum(hits) / max(len(raw), 1)))
+        blocks = [sum(hits[k : k + M.BLOCK]) / min(M.BLOCK, max(len(raw), 64)) for k in range(0, len(raw), M.BLOCK)]
+        shapes.append(band(min(max(blocks, default=0), 1)))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    shapes += [int(min(len(distinct) / max(n, 1) * 20, 20)), band(again / max(n, 1)), int(min(len(raw) / max(n, 1), 39)), int(np.log2(n + 1))]
+    for k, shape in enumerate(shapes, 1):
+        out |= {bucket(scrambled(level + 1000 * k)) for level in range(shape + 1)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 1000, 16, 1])
+def test_features_against_plain_loops(monkeypatch, piece):
+    monkeypatch.setattr(M, "_PIECE", piece)
+    rows = ["Abc def $$ abc 12 | x", "", None, "é" * 300 + " abcdefgh", "abc " * 200, "x" * 3000, *(t for _, t, _ in made_up(5, 25))]
+    buckets, each = features(*text_buffers(pa.array(rows)))
+    end = np.cumsum(each)
+    assert [buckets[e - n : e].tolist() for e, n in zip(end, each, strict=True)] == [plain_features(t) for t in rows]
+
+
+def test_a_fit_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(M, "EPOCHS", 2)
+    rows = made_up(6, 60)
+    buckets, each = features(*text_buffers(pa.array([t for _, t, _ in rows])))
+    grades = np.array([g for *_, g in rows])
+    got = OrdinalModel.fit(buckets, each, grades)
+    end = np.cumsum(each).tolist()
+    texts = [buckets[e - n : e].tolist() for e, n in zip(end, each.tolist(), strict=True)]
+    s = lambda x: 1 / (1 + np.exp(-x))
+    top = M.GRADES - 1
+    share = [np.mean(grades > k) for k in range(top)]
+    bounds = [-np.log(x / (1 - x)) for x in share]
+    bounds = [max(x + 1e-3 * k for k, x in enumerate(bounds[: j + 1])) if j else bounds[0] for j in range(top)]
+    w, z, q, q_t, r, least = {}, {}, {}, [1e-3] * top, np.random.default_rng(1), M.SPARSE * len(rows) ** 0.5
+    for _ in range(2):
+        order = r.permutation(len(rows)).tolist()
+        for lo in range(0, len(order), M.BATCH):
+            own, pull, grad_t = order[lo : lo + M.BATCH], {}, [0.0] * top
+            for i in own:
+                eta, y = sum(w.get(b, 0.0) for b in texts[i]), int(grades[i])
+                low = s(eta - bounds[y - 1]) if y else 1.0
+                high = s(eta - bounds[y]) if y < top else 0.0
+                p = max(low - high, 1e-9)
+                d_low, d_high = (low * (1 - low) / p if y else 0.0), (high * (1 - high) / p if y < top else 0.0)
+                if y:
+                    grad_t[y - 1] += d_low / len(own)
+                if y < top:
+                    grad_t[y] -= d_high / len(own)
+                for b in texts[i]:
+                    pull[b] = pull.get(b, 0.0) - (d_low - d_high)
+            for b, g in pull.items():
+                new = q.get(b, 0.0) + g * g
+                z[b] = z.get(b, 0.0) + g - (new**0.5 - q.get(b, 0.0) ** 0.5) / M.RATE * w.get(b, 0.0)
+                q[b] = new
+                w[b] = -(z[b] - np.sign(z[b]) * least) / ((1 + new**0.5) / M.RATE) if abs(z[b]) > least else 0.0
+            for k in range(top):
+                q_t[k] += grad_t[k] ** 2
+                bounds[k] -= 0.1 * grad_t[k] / q_t[k] ** 0.5
+            bounds = [max(bounds[: k + 1]) + 1e-9 * k for k in range(top)]
+    want = np.zeros(M.BUCKETS)
+    want[list(w)] = list(w.values())
+    assert np.count_nonzero(want) > 20 and np.allclose(got.weights, want, atol=1e-5) and np.allclose(got.thresholds, bounds, atol=1e-6)
+
+
+def test_bounds_leave_out_single_texts_and_never_keep_all(spark):
+    rows = made_up(7, 120)
+    docs = spark.createDataFrame([*rows, (1000, "nasty " * 60_000, 0), (1001, "long " * 60_000, 2)], "doc_id long, text string, grade int")
+    ratings = docs.select("doc_id", "grade")
+    model = fit_classifier(docs, ratings, most_bytes=50_000)
+    plain = fit_classifier(docs.where("doc_id < 1000"), ratings)
+    assert np.array_equal(model.weights, plain.weights)
+    assert fit_classifier(docs, ratings, most_rated=60) is not None
+    with pytest.raises(ValueError):
+        fit_classifier(docs, ratings, most_bytes=1)
+    assert fit_classifier(docs, ratings.where("grade = 2")) is None
 
 
 def test_odd_rows(spark):
