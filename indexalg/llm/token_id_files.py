@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,16 @@ class WordEncoder:
     around a single line feed between visible characters, and between a word
     and the signs that end it. Parts are encoded by the library once and
     remembered. Texts with special tokens' strings, or with a space after other
-    white space, go to the library whole.
+    white space, go to the library whole; and so do all texts if the vocabulary
+    has another pre-tokenizer, a normalizer or a prefix of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.composed = composes(json.load(f))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -111,6 +116,8 @@ class WordEncoder:
             ids[p] = self.feed.join([ids[x[0]], *(bare[y] for y in x[1:])])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.composed:
+            return self._encode(texts)
         if not self.core and len(self.ids) > CORE:
             self.core = dict(self.ids)
         if len(self.ids) > CACHE:
@@ -137,6 +144,16 @@ class WordEncoder:
         return out
 
 
+def composes(vocabulary: dict) -> bool:
+    """Whether a vocabulary's texts are encoded word by word, as WordEncoder takes for granted."""
+    before, model = vocabulary.get("pre_tokenizer") or {}, vocabulary.get("model") or {}
+    plain = not vocabulary.get("normalizer") and not any(vocabulary.get(k) for k in ("truncation", "padding"))
+    split = before.get("type") == "ByteLevel" and before.get("add_prefix_space") is False and before.get("use_regex", True)
+    bytes_only = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    added = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in vocabulary.get("added_tokens") or [])
+    return bool(plain and split and bytes_only and added and "\u010a" in model.get("vocab", {}))
+
+
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker.
@@ -162,6 +179,7 @@ def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]
 @tidy
 def _written(rows: Iterator[pa.RecordBatch], vocabulary: str, folder: str, kind: str) -> Iterator[pa.RecordBatch]:
     encoder = writer = out = None
+    nulls = 0
     for batch in rows:
         keys = batch.column(0)
         for lo in range(0, batch.num_rows, 1024):
@@ -170,52 +188,51 @@ def _written(rows: Iterator[pa.RecordBatch], vocabulary: str, folder: str, kind:
                 if writer is None:
                     encoder, out = word_encoder(vocabulary), NewFile(folder, ".planes")
                     writer = PlaneWriter(out, kind)
-                    least = keys[0].as_py()
                 end = np.array([END_ID], "<u4").tobytes()
                 for k, ids in enumerate(encoder(texts[a:b]), lo + a):
                     key = keys[k].as_py()
-                    writer.add(NULL_KEY if key is None else key, ids + end)
+                    nulls += key is None
+                    writer.add(0 if key is None else key, ids + end)
     if writer is not None:
         total, n = writer.close(), len(writer.docs)
-        yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([out.close()]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["least", "path", "n_docs", "n_ids"])
-
-
-#: Stands for a null key in the files.
-NULL_KEY = -(2**63)
+        row = [TaskContext.get().partitionId(), out.close(), n, nulls, total]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "path", "n_docs", "n_null", "n_ids"])
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", kind: str = "byte") -> tuple[DataFrame, str]:
     """Writes plane files in ascending key order (null first); (files, folder).
 
-    files: least (first key), path, n_docs, n_ids, base (ids in the files
-    before). A task that is run again writes a new file; only files of tasks
-    that ended are listed. Null texts count as empty: one id, the end id. Rows
-    with equal keys stand together, in order of their texts.
+    files: part (their order), path, n_docs, n_null (documents without a key,
+    the first of the file), n_ids, base (ids in the files before). A task that
+    is run again writes a new file; only files of tasks that ended are listed.
+    Null texts count as empty: one id, the end id. Rows with equal keys stand
+    together, in order of a hash of their texts, over several files if many.
     """
     folder = fresh_folder(docs.sparkSession, "token-ids")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = cut(rows.mapInArrow(lambda batches: _written(batches, vocabulary, folder, kind), "least long, path string, n_docs long, n_ids long"))
-    before = Window.orderBy(F.asc_nulls_first("least")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("draw", F.xxhash64("text")).repartitionByRange("doc_id", "draw").sortWithinPartitions("doc_id", "draw", "text").drop("draw")
+    files = cut(rows.mapInArrow(lambda batches: _written(batches, vocabulary, folder, kind), "part long, path string, n_docs long, n_null long, n_ids long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")), folder
 
 
 @tidy
 def _read(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, base, nulls in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             source, out = RangeReader(folder, path), []
-            for key, before, parts in PlaneReader(source).documents():
+            for k, (key, before, parts) in enumerate(PlaneReader(source).documents()):
                 crc = 0
                 for part in parts:
                     crc = zlib.crc32(part.tobytes(), crc)
-                out.append((None if key == NULL_KEY else key, base + before, sum(map(len, parts)), crc))
+                out.append((None if k < nulls else key, base + before, sum(map(len, parts)), crc))
             source.close()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_ids(files: DataFrame, folder: str) -> DataFrame:
     """Per document of plane files: doc_id, start, n_tokens, ids_crc32."""
-    paths = files.select("path", "base")
+    paths = files.select("path", "base", "n_null")
     n = max(1, paths.count())
     return paths.repartition(n).mapInArrow(lambda batches: _read(batches, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

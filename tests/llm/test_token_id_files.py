@@ -84,3 +84,34 @@ def test_files_against_brute_force(spark):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert M.token_ids(docs.limit(0), PATH).count() == 0
+
+
+def test_one_key_over_several_files(spark):
+    rows = [(5, f"text {i} " * (i % 7)) for i in range(400)] + [(None, f"no key {i}") for i in range(50)] + [(-(2**63), "least"), (2**63 - 1, "most"), (6, "x")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files, folder = M.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string"), PATH, kind="bit")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(M.read_token_ids(files, folder).collect(), key=lambda r: r.start)
+    assert files.count() > 1
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and [r.doc_id for r in got] == [None] * 50 + [-(2**63)] + [5] * 400 + [6, 2**63 - 1]
+    starts = np.cumsum([0, *(r.n_tokens for r in got)])
+    assert [r.start for r in got] == starts[:-1].tolist()
+    tokenizer = M.WordEncoder(PATH).tokenizer
+    want = sorted(zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import json
+
+    good = json.load(open(PATH, encoding="utf-8"))
+    assert M.composes(good)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": good["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": good["model"] | {"dropout": 0.1}}):
+        assert not M.composes(good | change)
+    encoder = M.WordEncoder(PATH)
+    encoder.composed = False
+    texts = odd_texts(50)
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
