@@ -75,7 +75,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as MPEG transport streams, and features read from these."""
-    return media_features(media_column(table(spark, sf_dir, "documents"))).drop("times", "random_access")
+    return media_features(media_column(table(spark, sf_dir, "documents"))).drop("times", "random_access", "damaged")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,7 +4,9 @@ mux() packs a payload as one private elementary stream: access units in PES
 packets with timestamps, every few of them a random-access point led by the
 program tables and a clock reference. demux() parses program association and
 map tables, checks continuity counters, reassembles the elementary packets and
-returns payload, timestamps and random-access points.
+returns payload, timestamps and random-access points. A packet sent twice in a
+row counts once. Where packets are missing, the open elementary packet is given
+up, its place in the payload is reported, and reading goes on at the next one.
 """
 
 from __future__ import annotations
@@ -106,6 +108,8 @@ class Stream:
     times: list[int]
     points: list[int]
     discontinuities: int
+    #: where in the payload an elementary packet is missing
+    damaged: list[int]
 
 
 def _table(packets: np.ndarray, pid: int, ids: np.ndarray, table: int) -> bytes:
@@ -137,22 +141,35 @@ def demux(stream: bytes) -> Stream:
     at = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
     stream_type, es = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
     lost = 0
-    for pid in (0, map_pid, es):
-        counters = packets[(ids == pid) & (packets[:, 3] & 0x10 > 0), 3] & 15
-        lost += int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
-    own = packets[(ids == es) & (packets[:, 3] & 0x10 > 0)]
+    for pid in (0, map_pid):
+        lost += int(_breaks(_once(packets[(ids == pid) & (packets[:, 3] & 0x10 > 0)])).sum())
+    own = _once(packets[(ids == es) & (packets[:, 3] & 0x10 > 0)])
+    gap = _breaks(own)
+    lost += int(gap.sum())
     adapted = own[:, 3] & 0x20 > 0
-    skip = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
+    skip = np.minimum(np.where(adapted, 5 + own[:, 4].astype(np.int64), 4), PACKET)
     random = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
-    begins = own[:, 1] & 0x40 > 0
+    begins = np.flatnonzero(own[:, 1] & 0x40 > 0)
     data = own[np.arange(PACKET) >= skip[:, None]].tobytes()
     where = np.concatenate(([0], np.cumsum(PACKET - skip)))
-    parts, times, points = [], [], []
-    for k in np.flatnonzero(begins).tolist():
-        at = int(where[k])
-        if data[at : at + 3] != b"\0\0\1":
-            raise ValueError("damaged elementary packet")
-        size, head = int.from_bytes(data[at + 4 : at + 6], "big"), data[at + 8]
+    until = np.concatenate((begins[1:], [len(own)])).astype(np.int64)
+    gaps = np.flatnonzero(gap)
+    parts, times, points, damaged, place = [], [], [], [0] if not len(begins) or begins[0] else [], 0
+
+    def miss() -> None:
+        if damaged[-1:] != [place]:
+            damaged.append(place)
+
+    for k, to in zip(begins.tolist(), until.tolist(), strict=True):
+        if gap[k]:  # what came before may have ended early, or not have come at all
+            miss()
+        # up to the first gap; what follows it up to the next beginning is of a packet whose own beginning is missing
+        inside = gaps[np.searchsorted(gaps, k, side="right") : np.searchsorted(gaps, to)]
+        at, end = int(where[k]), int(where[inside[0] if len(inside) else to])
+        size, head = int.from_bytes(data[at + 4 : at + 6], "big"), data[at + 8] if end > at + 8 else 0
+        if data[at : at + 3] != b"\0\0\1" or end - at != 6 + size or size < 3 + head:
+            miss()
+            continue
         if data[at + 7] & 0x80:
             p = data[at + 9 : at + 14]
             time = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
@@ -160,7 +177,33 @@ def demux(stream: bytes) -> Stream:
             if random[k]:
                 points.append(time)
         parts.append(data[at + 9 + head : at + 6 + size])
-    return Stream(b"".join(parts), program, stream_type, times, points, lost)
+        place += len(parts[-1])
+        if len(inside):
+            miss()
+    return Stream(b"".join(parts), program, stream_type, times, points, lost, damaged)
+
+
+def _once(packets: np.ndarray) -> np.ndarray:
+    """Packets of one id without those that repeat the one before; only a clock reference may differ."""
+    counter = packets[:, 3] & 15
+    again = np.flatnonzero(counter[1:] == counter[:-1]) + 1
+    drop = []
+    for k in again.tolist():
+        x, y = packets[k - 1].copy(), packets[k].copy()
+        for z in (x, y):
+            if z[3] & 0x20 and z[4] >= 7 and z[5] & 0x10:
+                z[6:12] = 0
+        if (x == y).all():
+            drop.append(k)
+    return np.delete(packets, drop, axis=0) if drop else packets
+
+
+def _breaks(packets: np.ndarray) -> np.ndarray:
+    """Whether packets are missing before each one, by its counter."""
+    counter = packets[:, 3] & 15
+    out = np.zeros(len(packets), bool)
+    out[1:] = (counter[1:] - counter[:-1]) & 15 != 1
+    return out
 
 
 @tidy
@@ -188,13 +231,13 @@ def _featured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blob in batch.column(2):
             raw = blob.as_buffer().to_pybytes()
             s = demux(raw)
-            feature = f"program={s.program};type={s.stream_type};units={len(s.times)};pts={s.times[0]}-{s.times[-1]};points={len(s.points)};lost={s.discontinuities};packets={len(raw) // PACKET}"
-            out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.times, s.points))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            feature = f"program={s.program};type={s.stream_type};units={len(s.times)};pts={min(s.times, default=0)}-{max(s.times, default=0)};points={len(s.points)};lost={s.discontinuities};packets={len(raw) // PACKET}"
+            out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.times, s.points, s.damaged))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int64())] * 3]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", *_FEATURES])
 
 
-_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "random_access"]
+_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "random_access", "damaged"]
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -203,6 +246,8 @@ def media_features(media: DataFrame) -> DataFrame:
     payload_* are of the payload read back, tail_crc32 of its last 64 bytes,
     media_* of the stream; times and random_access are the timestamps of all
     access units and of those where decoding may begin; lost in `feature`
-    counts breaks of continuity. A damaged stream raises ValueError.
+    counts breaks of continuity. damaged lists the places in the payload where
+    access units are missing; it is empty for an intact stream. A stream that is
+    not whole packets in step, or has no readable tables, raises ValueError.
     """
-    return media.mapInArrow(_featured, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, random_access array<long>")
+    return media.mapInArrow(_featured, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, random_access array<long>, damaged array<long>")
