@@ -70,13 +70,19 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     run = Window.partitionBy("source").orderBy("bucket")
     levels = sums.withColumn("after", F.sum("words").over(run)).withColumn("before", F.col("after") - F.col("words"))
     one = levels.alias("l").join(plan.alias("p"), F.expr("l.source <=> p.source"))
-    one = one.groupBy(F.col("p.source").alias("mix_source"), "p.source_size", "p.target", "p.whole", "p.rest").agg(F.min(F.when(F.col("after") > F.col("rest"), F.struct("bucket", "before"))).alias("at"))
-    one = cut(one.select("mix_source", F.col("source_size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("rest").alias("mix_rest"), F.coalesce("at.bucket", F.lit(4096)).alias("mix_bucket"), F.coalesce("at.before", F.lit(0)).alias("mix_before")))
+    one = one.groupBy(F.col("p.source").alias("source"), "p.source_size", "p.target", "p.whole", "p.rest").agg(F.min(F.when(F.col("after") > F.col("rest"), F.struct("bucket", "before"))).alias("at"))
+    # no column of `docs` begins like these
+    own = "mix_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    level = {"size": F.col("source_size"), "target": F.col("target"), "whole": F.col("whole"), "rest": F.col("rest"), "bucket": F.coalesce("at.bucket", F.lit(4096)), "before": F.coalesce("at.before", F.lit(0))}
+    one = cut(one.select(F.col("source").alias(f"{own}source"), *(c.alias(f"{own}{k}") for k, c in level.items())))
     one = F.broadcast(one) if one.count() <= BROADCAST_SOURCES else one
-    named = docs.withColumn("mix_draw", draw).join(one, F.col(source).eqNullSafe(F.col("mix_source")))
-    here = F.shiftright("mix_draw", 48)
-    inner = Window.partitionBy("mix_source").orderBy("mix_draw", "size", key).rowsBetween(Window.unboundedPreceding, 0)
-    edge = named.where(here == F.col("mix_bucket")).withColumn("size", size)
-    edge = edge.withColumn("mix_extra", ((F.sum("size").over(inner) + F.col("mix_before")) * 2 - F.col("size") <= F.col("mix_rest") * 2).cast("long"))
-    rest = named.where(here != F.col("mix_bucket")).withColumn("size", size).withColumn("mix_extra", (here < F.col("mix_bucket")).cast("long"))
-    return rest.unionByName(edge).select(*docs.columns, "size", F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * (F.col("mix_whole") + F.col("mix_extra"))).alias("taken"))
+    mine = lambda k: F.col(f"{own}{k}")
+    named = docs.withColumn(f"{own}draw", draw).join(one, F.col(source).eqNullSafe(mine("source")))
+    here = F.shiftright(mine("draw"), 48)
+    inner = Window.partitionBy(mine("source")).orderBy(mine("draw"), "size", key).rowsBetween(Window.unboundedPreceding, 0)
+    edge = named.where(here == mine("bucket")).withColumn("size", size)
+    edge = edge.withColumn(f"{own}extra", ((F.sum("size").over(inner) + mine("before")) * 2 - F.col("size") <= mine("rest") * 2).cast("long"))
+    rest = named.where(here != mine("bucket")).withColumn("size", size).withColumn(f"{own}extra", (here < mine("bucket")).cast("long"))
+    return rest.unionByName(edge).select(*docs.columns, "size", mine("size").alias("source_size"), mine("target").alias("target"), (F.col("size") * (mine("whole") + mine("extra"))).alias("taken"))

@@ -71,3 +71,14 @@ def test_odd_rows(spark):
     assert len(got) == 5 and {r.target for r in got if r.source in ("b", None)} == {0.0}
     assert mix_sources(frame.limit(0)).count() == 0
     assert [r.taken for r in mix_sources(frame.where("source = 'b'")).collect()] == [0]
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["mix_draw", "mix_source", "_mix_size", "mix_extra", "bucket", "before", "at"]
+    rows = [(i, "ab"[i % 2], "w " * i, *[f"{n}{i}" for n in names]) for i in range(40)]
+    frame = spark.createDataFrame(rows, ["doc_id", "source", "text", *names])
+    got = mix_sources(frame)
+    assert got.columns == [*frame.columns, "size", "source_size", "target", "taken"]
+    assert sorted(tuple(r)[:10] for r in got.collect()) == sorted(rows)
+    plain = mix_sources(frame.select("doc_id", "source", "text"))
+    assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, r.taken) for r in plain.collect())
