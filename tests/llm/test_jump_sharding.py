@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from indexalg.llm import jump_sharding as M
@@ -55,3 +56,32 @@ def test_empty_table(spark, tmp_path):
     rows = M.assign_shards(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), 3)
     M.write_shards(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_texts_are_kept_and_written(spark, tmp_path):
+    rows = [(i % 40, f"text {i}" if i % 7 else None, f"k{i}", i) for i in range(300)] + [(None, "no key", "k", 1), (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, rank long")
+    kept = M.assign_shards(docs, keep=True)
+    assert kept.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "text", "slot_", "rank_"]
+    got = kept.collect()
+    assert sorted(((r.doc_id, r.text, r.slot_, r.rank_) for r in got), key=str) == sorted(rows, key=str)
+    slim = M.assign_shards(docs).collect()
+    assert sorted(tuple(r)[:7] for r in map(tuple, got) if r[0] is not None) == sorted(tuple(r) for r in map(tuple, slim) if r[0] is not None)
+    M.write_shards(kept, str(tmp_path / "shards"))
+    read = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted((r.shard, r.slot, r.text or "") for r in read) == sorted((r.shard, r.slot, r.text or "") for r in got)
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in read if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_a_hot_key_fills_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_RANGE", 20)
+    rows = [(i, f"t{i}") for i in range(100)] + [(50, f"hot {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.assign_shards(docs).collect()
+    for shard in {r.shard for r in got}:
+        own = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and [r.doc_id for r in own] == sorted(r.doc_id for r in own)
+    bounds = np.array([10, 50, 50, 50, 70])
+    batch = pa.RecordBatch.from_arrays([pa.array([50] * 3 + [9, 60, 71]), pa.array([1] * 6), pa.array([0, 2**31, 2**32 - 1, 5, 5, 5])], ["doc_id", "bytes", "text_crc32"])
+    assert next(M._placed(iter([batch]), 8, bounds)).column(5).to_pylist() == [1, 2, 3, 0, 4, 5]
