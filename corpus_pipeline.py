@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexalg.llm.decontamination import decontaminated
-from indexalg.llm.jump_sharding import assign_shards
+from indexalg.llm.jump_sharding import assign_shards, write_shards
 from indexalg.llm.ngram_jaccard_join import one_of_each_class
 from indexalg.llm.quality_classifier import classify, fit_classifier, rated
-from indexalg.llm.shared import fresh_folder, table
+from indexalg.llm.shared import fresh_folder, table, unused
 from indexalg.llm.source_mixing import mix_sources
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are less likely good than not, by a model of the rated ones."""
     model = fit_classifier(docs, rated(table(spark, sf_dir, "labels")))
-    return classify(docs, model).where("keep").select(*docs.columns)
+    names = tuple(unused(n, docs.columns) for n in ("expected_grade", "tail_probability", "keep"))
+    return classify(docs, model, names=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +37,31 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix of sources takes it: not at all, once or twice."""
-    mixed = mix_sources(docs).where("taken > 0")
-    return mixed.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))).select(*docs.columns)
+    """Repeats each document as often as the mix of sources takes it: not at all, once or twice.
+
+    Input columns named like those the mix adds (size, source_size, target, taken) come back unchanged.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    away, names = {}, [*docs.columns, *added]
+    for c in docs.columns:
+        if c.lower() in added:
+            away[c] = unused(f"{c}_", names)
+            names.append(away[c])
+    mixed = mix_sources(docs.withColumnsRenamed(away)).where("taken > 0")
+    repeat = unused("repeat", names)
+    mixed = mixed.withColumn(repeat, F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size"))))
+    return mixed.select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assigns every row to one of 8 shards."""
-    return assign_shards(docs)
+    """Writes every row, with its text, to one of 8 shards in order of slots; what is returned is read from their files.
+
+    Repeats of a document have slots of their own in its shard.
+    """
+    folder = fresh_folder(spark, "shards")
+    rows = assign_shards(docs, keep=True)
+    write_shards(rows, folder)
+    return spark.read.schema(rows.schema).parquet(folder).select(*rows.columns)
 
 
 STAGES = [
