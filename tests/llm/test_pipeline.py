@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -58,6 +59,20 @@ def test_stages(spark, tmp_path):
     assert left and not any(r.contaminated for r in left)
     assert all(n in (1, 2) for n in Counter(r.doc_id for r in fourth.collect()).values())
     assert last.count() == fourth.count()
+    assert sorted((r.doc_id, r.text) for r in last.collect()) == sorted((r.doc_id, r.text) for r in fourth.collect())
+    slots = sorted((r.shard, r.slot) for r in last.collect())
+    assert slots == [(s, k) for s, n in sorted(Counter(s for s, _ in slots).items()) for k in range(n)]
+
+
+def test_stages_take_any_column_names(spark):
+    names = ["keep", "expected_grade", "tail_probability", "near_id", "near_first", "mix_draw", "size", "Target", "taken", "epoch", "repeat", "shard", "slot"]
+    docs = table(spark, DATA, "documents").limit(60)
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        assert rows and (k == 4 or out.columns == docs.columns)
+        assert all(r[f"{n}_" if k == 4 and n in ("size", "shard", "slot") else n] == f"{n} {r.doc_id}" for r in rows for n in names)
 
 
 def test_stages_take_odd_documents(spark):
