@@ -1,20 +1,19 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-Each task cuts its documents into shards, indexes every word of a shard and
-searches all windows of the benchmark backwards through the index; occurrences
-are located by sampled suffix positions and merged to spans. Words that no
-window holds are one symbol to the index, and a run of them is written once;
-document ends are such words too, so no window reaches across.
+Each task cuts its documents into shards and indexes all words of a shard once;
+all windows of the benchmark are searched backwards through that index,
+occurrences are located by sampled suffix positions and merged to spans. Between
+documents stands a symbol of its own, so no window reaches across.
 
 The benchmark's windows go to the executors as files in the shared folder, in
-blocks of bounded size, each searched in turn.
+blocks of bounded size, each searched in turn in the same index.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,8 +43,7 @@ class Windows:
         data, off = text_buffers(pa.array(texts, pa.large_string()))
         words, count = words_of(data, off, ALNUM)
         self.vocabulary = np.unique(words)
-        self.bits = max(2, int(len(self.vocabulary) + 1).bit_length())
-        symbols = np.searchsorted(self.vocabulary, words).astype(np.int32) + 2
+        symbols = np.searchsorted(self.vocabulary, words).astype(np.int32) + 1
         first = np.concatenate(([0], np.cumsum(count)))
         rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for k, item in enumerate(ids):
@@ -63,43 +61,43 @@ class Windows:
         pairs = pairs[pairs[:, 1] >= 0]
         self.items = np.array([x or 0 for x in ids], np.int64)[pairs[:, 1]]
         self.item_end = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns)), side="right")
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def symbols_of(self, words: np.ndarray) -> np.ndarray:
-        """Symbols of hashed words; 1 for any other."""
-        out = np.ones(len(words), np.int32)
-        if len(self.vocabulary):
-            maybe = np.flatnonzero(self.quick[(words & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.vocabulary, words[maybe]), len(self.vocabulary) - 1)
-            ok = self.vocabulary[at] == words[maybe]
-            out[maybe[ok]] = at[ok] + 2
-        return out
-
-
-def occurrences(windows: Windows, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pattern, first word) of all occurrences in a shard; `row` is each word's document."""
-    place = np.arange(len(words)) + row - (row[0] if len(row) else 0) + 1
-    text = np.ones((int(place[-1]) if len(place) else 0) + 1, np.int32)
-    where = np.zeros(len(text), np.int64)
-    text[place], where[place] = windows.symbols_of(words), np.arange(len(words))
-    keep = np.ones(len(text), bool)
-    keep[1:] = (text[1:] > 1) | (text[:-1] > 1)
-    text, where = text[keep], where[keep]
-    index = FMIndex(text, windows.bits)
-    lo, hi = index.search(windows.patterns, windows.lengths)
-    found = np.flatnonzero(lo < hi)
-    size = (hi - lo)[found]
-    total = int(size.sum())
-    end = np.cumsum(size)
-    for a in range(0, total, LOCATE_ROWS):
-        k = np.arange(a, min(total, a + LOCATE_ROWS))
-        which = np.searchsorted(end, k, side="right")
-        rows = lo[found[which]] + k - (end[which] - size[which])
-        yield found[which], where[index.locate(rows)]
-
-
-def search_shard(blocks: list[Windows], words: np.ndarray, count: np.ndarray, shard_words: int) -> tuple[np.ndarray, np.ndarray]:
+
+
+class Shard:
+    """The index of a run of words; `row` is each word's document."""
+
+    def __init__(self, words: np.ndarray, row: np.ndarray):
+        self.vocabulary, symbols = np.unique(words, return_inverse=True)
+        place = np.arange(len(words)) + row - (row[0] if len(row) else 0)
+        # 1 stands between documents
+        text = np.ones((int(place[-1]) if len(place) else 0) + 1, np.int32)
+        text[place] = symbols + 2
+        self.where = np.zeros(len(text), np.int64)
+        self.where[place] = np.arange(len(words))
+        self.index = FMIndex(text, max(2, int(len(self.vocabulary) + 1).bit_length()))
+
+    def occurrences(self, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pattern, first word) of all occurrences."""
+        if not len(self.vocabulary) or not len(windows.patterns):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, windows.vocabulary), len(self.vocabulary) - 1)
+        # what a window's symbols are here; -1 for a word that is not
+        ours = np.concatenate(([0], np.where(self.vocabulary[at] == windows.vocabulary, at + 2, -1))).astype(np.int32)
+        patterns = ours[windows.patterns]
+        here = np.flatnonzero((patterns >= 0).all(1))
+        lo, hi = self.index.search(patterns[here], windows.lengths[here])
+        found = np.flatnonzero(lo < hi)
+        size = (hi - lo)[found]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        for a in range(0, total, LOCATE_ROWS):
+            k = np.arange(a, min(total, a + LOCATE_ROWS))
+            which = np.searchsorted(end, k, side="right")
+            rows = lo[found[which]] + k - (end[which] - size[which])
+            yield here[found[which]], self.where[self.index.locate(rows)]
+
+
+def search_shard(blocks: Iterable[Windows], words: np.ndarray, count: np.ndarray, shard_words: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hit or not, for every word; distinct (document, item) rows) of documents given by words and counts.
 
     A run of documents longer than a shard is indexed in several, which overlap
@@ -108,11 +106,11 @@ def search_shard(blocks: list[Windows], words: np.ndarray, count: np.ndarray, sh
     row = np.repeat(np.arange(len(count)), count)
     change = np.zeros(len(words) + 1, np.int64)
     pairs = [np.zeros((0, 2), np.int64)]
-    for windows in blocks:
-        over = int(windows.lengths.max(initial=1)) - 1
-        for a in range(0, len(words), shard_words):
-            b = min(len(words), a + shard_words + over)
-            for pattern, at in occurrences(windows, words[a:b], row[a:b]):
+    for a in range(0, len(words), shard_words):
+        b = min(len(words), a + shard_words + window - 1)
+        shard = Shard(words[a:b], row[a:b])
+        for windows in blocks:
+            for pattern, at in shard.occurrences(windows):
                 at = at + a
                 np.add.at(change, at, 1)
                 np.add.at(change, at + windows.lengths[pattern], -1)
@@ -147,26 +145,34 @@ class _Blocks:
 
 
 def window_blocks(benchmark: DataFrame, item: str, text: str, window: int) -> tuple[str, list[str]]:
-    """Writes the benchmark's windows to the shared folder; the driver holds a block at a time."""
+    """Writes the benchmark's windows to the shared folder; the driver holds a block and a partition at a time."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).where("length(text) > 0")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n, folder, paths = size // BLOCK_BYTES + 1, fresh_folder(benchmark.sparkSession, "windows"), []
-    for k in range(n):
-        own = sorted(rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect(), key=lambda r: (r.item is None, r.item or 0, r.text))
+    folder, paths, own, size = fresh_folder(benchmark.sparkSession, "windows"), [], [], 0
+
+    def store() -> None:
         out = NewFile(folder, ".windows")
         out.write(pickle.dumps(Windows([r.item for r in own], [r.text for r in own], window)))
         paths.append(out.close())
+
+    for r in rows.distinct().orderBy("item", "text").toLocalIterator():
+        if own and size + len(r.text) > BLOCK_BYTES:
+            store()
+            own, size = [], 0
+        own.append(r)
+        size += len(r.text)
+    if own:
+        store()
     return folder, paths
 
 
-def _shards(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list[str], shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
+def _shards(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list[str], shard_words: int, window: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
     """(batches, words of each row, hit or not of each word, (row, item)) shard by shard."""
     blocks = _Blocks(folder, paths)
     batches, words, counts, size = [], [], [], 0
 
     def searched():
         count = np.concatenate(counts)
-        return batches, count, *search_shard(blocks, np.concatenate(words), count, shard_words)
+        return batches, count, *search_shard(blocks, np.concatenate(words), count, shard_words, window)
 
     for batch, data, off in slices(rows, text):
         hashes, count = words_of(data, off, ALNUM)
@@ -187,8 +193,8 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 @tidy
-def _reported(rows: Iterator[pa.RecordBatch], folder: str, paths: list[str], shard_words: int, share: int) -> Iterator[pa.RecordBatch]:
-    for batches, count, hit, pairs in _shards(rows, "text", folder, paths, shard_words):
+def _reported(rows: Iterator[pa.RecordBatch], folder: str, paths: list[str], shard_words: int, window: int, share: int) -> Iterator[pa.RecordBatch]:
+    for batches, count, hit, pairs in _shards(rows, "text", folder, paths, shard_words, window):
         end = np.cumsum(count)
         total = np.concatenate(([0], np.cumsum(hit)))
         n_hit = total[end] - total[end - count]
@@ -216,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     folder, paths = window_blocks(benchmark, item_id, text, window)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>, items array<long>"
-    return rows.mapInArrow(lambda batches: _reported(batches, folder, paths, shard_words, share), schema)
+    return rows.mapInArrow(lambda batches: _reported(batches, folder, paths, shard_words, window, share), schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -230,8 +236,8 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 @tidy
-def _cleaned(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list[str], shard_words: int, share: int) -> Iterator[pa.RecordBatch]:
-    for batches, count, hit, _ in _shards(rows, text, folder, paths, shard_words):
+def _cleaned(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list[str], shard_words: int, window: int, share: int) -> Iterator[pa.RecordBatch]:
+    for batches, count, hit, _ in _shards(rows, text, folder, paths, shard_words, window):
         end, row = np.cumsum(count), 0
         total = np.concatenate(([0], np.cumsum(hit)))
         n_hit = total[end] - total[end - count]
@@ -251,4 +257,4 @@ def _cleaned(rows: Iterator[pa.RecordBatch], text: str, folder: str, paths: list
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` without contaminated rows, and without the hit spans of the others; all columns are kept."""
     folder, paths = window_blocks(benchmark, item_id, text, window)
-    return docs.mapInArrow(lambda batches: _cleaned(batches, text, folder, paths, shard_words, share), docs.schema)
+    return docs.mapInArrow(lambda batches: _cleaned(batches, text, folder, paths, shard_words, window, share), docs.schema)

@@ -6,6 +6,8 @@ All steps work on whole numpy arrays. Symbols are small non-negative integers;
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -63,17 +65,29 @@ class Bits:
         return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+@lru_cache(4)
+def _reversed(bits: int) -> np.ndarray:
+    """All numbers of so many bits, in order of their bits read backwards."""
+    x = np.zeros(1 << bits, np.int64)
+    for level in range(bits):
+        x |= (np.arange(1 << bits) >> level & 1) << bits - 1 - level
+    return x
+
+
 class Wavelet:
     """A wavelet matrix: ranks of symbols in a sequence."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.levels, self.zeros = bits, [], []
+        # the last level's order is that of the symbols' bits read backwards
+        order, count = _reversed(bits), np.bincount(symbols, minlength=1 << bits)
+        self.base = np.empty(1 << bits, np.int64)
+        self.base[order] = np.cumsum(count[order]) - count[order]
         for level in range(bits - 1, -1, -1):
             one = (symbols >> level & 1).astype(bool)
             self.levels.append(Bits(one))
             symbols = np.concatenate((symbols[~one], symbols[one]))
             self.zeros.append(len(one) - int(one.sum()))
-        self.base = self._down(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from indexalg.llm import decontamination as M
@@ -92,6 +93,20 @@ def test_against_brute_force(spark, monkeypatch, shard, block):
                 assert left[r.doc_id] == text if not hit else words(left[r.doc_id]) == [w for k, w in enumerate(words(text)) if k not in hit]
 
 
+@pytest.mark.parametrize("block", [1 << 25, 40])
+def test_a_shard_is_sorted_once_whatever_the_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK_BYTES", block)
+    docs, items = made_up(8)
+    folder, paths = M.window_blocks(spark.createDataFrame(items + items, "item_id long, text string"), "item_id", "text", 6)
+    assert (len(paths) == 1) == (block > 40)
+    sorts, index = [], M.FMIndex
+    monkeypatch.setattr(M, "FMIndex", lambda text, bits: sorts.append(len(text)) or index(text, bits))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    found = list(M._shards(iter([batch]), "text", folder, paths, 1 << 19, 6))
+    assert len(found) == len(sorts) == 1
+    assert found[0][1].tolist() == [len(words(t)) for _, t in docs]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
