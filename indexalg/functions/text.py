@@ -5,6 +5,9 @@ Everything here is built of Spark's own string functions and runs in the JVM.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,21 @@ LATEX_OPERATORS = {
 #: Opening and closing signs.
 PAIRS = {"[": "[]", "]": "[]", "{": "{}", "}": "{}", "(": "()", ")": "()", "<": "<>", ">": "<>"}
 
+#: What stands for parts of a formula in the rough printed width, in this order; $2 is the second group.
+LATEX_WIDTHS = (
+    (r"\\text(normal|bf|it)?\{([^}]*)\}", "$2"),
+    (r"\\math(it|bf|sf|cal)\{([^}]*)\}", "$2"),
+    (r"_\{[^}]*\}", "~~"),
+    (r"\\frac\{[^}]*\}\{[^}]*\}", "~~~~~~"),
+    (r"\\sum(_\{[^}]*\})?", "~~~~~"),
+    (r"\\prod(_\{[^}]*\})?", "~~~~~"),
+    (r"\\[a-zA-Z]+", ""),
+)
+#: Scores below which brackets have a size, what does not count, and what operators, line breaks and sums count.
+BRACKET_SIZES, LARGEST = ((30, ""), (60, "\\big"), (90, "\\Big"), (130, "\\bigg")), "\\Bigg"
+NOT_COUNTED, COUNTED_OPERATORS = r"\\[a-zA-Z]+|\{|\}|\s+", r"\+|\-|\\cdot|\\sum|\\prod|\\frac"
+PER_OPERATOR, PER_BREAK, PER_SUM = 5, 10, 10
+
 
 def is_special(c: Column) -> Column:
     """Only punctuation, at least one."""
@@ -85,21 +103,17 @@ def latex_text(c: Column, math: bool = False, bold: bool = False, italic: bool =
 
 def latex_length(c: Column) -> Column:
     """Rough printed width; subscripts count 2 before sums count 5. Null and empty: 0."""
-    for pattern, by in (
-        (r"\\text(normal|bf|it)?\{([^}]*)\}", "$2"), (r"\\math(it|bf|sf|cal)\{([^}]*)\}", "$2"), (r"_\{[^}]*\}", "~~"),
-        (r"\\frac\{[^}]*\}\{[^}]*\}", "~~~~~~"), (r"\\sum(_\{[^}]*\})?", "~~~~~"), (r"\\prod(_\{[^}]*\})?", "~~~~~"), (r"\\[a-zA-Z]+", ""),
-    ):
+    for pattern, by in LATEX_WIDTHS:
         c = F.regexp_replace(c, pattern, by)
     return F.coalesce(F.char_length(c), F.lit(0))
 
 
 def latex_bracket_size(content: Column, context: Column | None = None) -> Column:
     """The size command for brackets around `content`: by characters, operators and line breaks."""
-    chars = F.char_length(F.regexp_replace(content, r"\\[a-zA-Z]+|\{|\}|\s+", ""))
-    score = chars + 5 * F.regexp_count(content, F.lit(r"\+|\-|\\cdot|\\sum|\\prod|\\frac")) + 10 * F.regexp_count(content, F.lit(r"\\\\"))
+    score = F.char_length(F.regexp_replace(content, NOT_COUNTED, "")) + PER_OPERATOR * F.regexp_count(content, F.lit(COUNTED_OPERATORS)) + PER_BREAK * F.regexp_count(content, F.lit(r"\\\\"))
     if context is not None:
-        score = score + F.when(context.isin("sum", "prod"), 10).otherwise(0)
-    return F.when(score < 30, "").when(score < 60, "\\big").when(score < 90, "\\Big").when(score < 130, "\\bigg").otherwise("\\Bigg")
+        score = score + F.when(context.isin("sum", "prod"), PER_SUM).otherwise(0)
+    return F.coalesce(*(F.when(score < limit, F.lit(size)) for limit, size in BRACKET_SIZES), F.lit(LARGEST))
 
 
 def latex_math_brackets(content: Column, context: Column | None = None) -> Column:
@@ -162,15 +176,41 @@ def drop_data_blocks(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)/.*?/\s*", " ")
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `x`, which is computed once however often, and in whatever loop, the body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _marked(c: Column, marks: str) -> Column:
+    """(mark, at, level) of each of the signs in a character class, in order: its place from 0 and the level of parentheses before it, never below 0.
+
+    The text falls apart once; what is folded are its marks, not its characters.
+    """
+    pieces, found = F.split(c, marks), F.regexp_extract_all(c, F.lit(f"({marks})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.array().cast("array<struct<mark:string,at:int,level:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        mark, at = x["mark"], acc["at"] + F.coalesce(x["size"], F.lit(0))
+        level = F.when(mark == "(", acc["level"] + 1).when(mark == ")", F.greatest(acc["level"] - 1, F.lit(0))).otherwise(acc["level"])
+        one = F.struct(mark.alias("mark"), at.cast("int").alias("at"), acc["level"].cast("int").alias("level"))
+        # of a text without marks there is a null in the longer list
+        out = F.when(mark.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one)))
+        return F.struct((at + 1).cast("int").alias("at"), level.cast("int").alias("level"), out.alias("out"))
+
+    pairs = F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("mark"), F.char_length(p).alias("size")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def paren_levels(c: Column) -> Column:
     """The level of every character; a parenthesis has that outside it; closing ones never go below 0."""
-    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("levels"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        level = F.when(ch == ")", F.greatest(acc["level"] - 1, F.lit(0))).otherwise(acc["level"])
-        return F.struct((level + F.when(ch == "(", 1).otherwise(0)).cast("int").alias("level"), F.concat(acc["levels"], F.array(level)).alias("levels"))
+    def runs(marks: Column) -> Column:
+        # each run of characters up to a mark, then the mark; what follows the last
+        one = lambda m, k: F.concat(F.array_repeat(m["level"], m["at"] - F.when(k == 0, F.lit(0)).otherwise(F.get(marks, k - 1)["at"] + 1)), F.array(F.when(m["mark"] == ")", F.greatest(m["level"] - 1, F.lit(0))).otherwise(m["level"])))
+        end = F.when(F.size(marks) == 0, F.lit(0)).otherwise(F.get(marks, F.size(marks) - 1)["at"] + 1)
+        return F.concat(F.flatten(F.transform(marks, one)), F.array_repeat(final_paren_level(c), F.char_length(c) - end).cast("array<int>"))
 
-    return F.aggregate(F.split(c, "(?!^)"), start, step, lambda acc: acc["levels"])
+    return _let(_marked(c, "[()]"), runs)
 
 
 def final_paren_level(c: Column) -> Column:
@@ -184,27 +224,40 @@ def final_paren_level(c: Column) -> Column:
 
 def split_top_level(c: Column, mark: str) -> Column:
     """Parts between occurrences of a one-character mark outside all parentheses, as an array."""
-    start = F.struct(F.lit(0).alias("level"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        cut = (ch == mark) & (acc["level"] == 0)
-        level = F.when(ch == "(", acc["level"] + 1).when(ch == ")", F.greatest(acc["level"] - 1, F.lit(0))).otherwise(acc["level"])
-        return F.struct(level.cast("int").alias("level"), F.when(cut, F.lit("")).otherwise(F.concat(acc["part"], ch)).alias("part"), F.when(cut, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"))
+    def parts(x: Column) -> Column:
+        text, cuts = x["text"], x["cuts"]
+        return F.transform(cuts, lambda end, k: _between(text, F.when(k == 0, F.lit(-1)).otherwise(F.get(cuts, k - 1)), end))
+
+    def bound(text: Column) -> Column:
+        found = F.filter(_marked(text, f"[(){re.escape(mark)}]"), lambda m: (m["mark"] == mark) & (m["level"] == 0))
+        cuts = F.concat(F.transform(found, lambda m: m["at"]), F.array(F.char_length(text)))
+        return _let(F.struct(text.alias("text"), cuts.alias("cuts")), parts)
+
+    return F.when(c.isNotNull(), _let(c, bound))
+
 
-    return F.aggregate(F.split(c, "(?!^)"), start, step, lambda acc: F.concat(acc["parts"], F.array(acc["part"])))
+def _between(text: Column, start: Column, end: Column) -> Column:
+    """The characters after one place and before another, places from 0."""
+    return F.substr(text, start + 2, end - start - 1)
 
 
 def split_top_level_dollar(c: Column) -> Column:
     """(left, right) of the first `$` outside parentheses; null if there is none."""
-    parts = split_top_level(c, "$")
-    return F.when(F.size(parts) > 1, F.struct(F.trim(F.get(parts, F.lit(0))).alias("left"), F.trim(F.array_join(F.slice(parts, 2, 1_000_000), "$")).alias("right")))
+    return _first_and_rest(split_top_level(c, "$"), "$", "left", "right")
+
+
+def _first_and_rest(parts: Column, mark: str, first: str, rest: str) -> Column:
+    def pair(x: Column) -> Column:
+        return F.when(F.size(x) > 1, F.struct(F.trim(F.get(x, F.lit(0))).alias(first), F.trim(F.array_join(F.slice(x, F.lit(2), F.size(x)), mark)).alias(rest)))
+
+    return _let(parts, pair)
 
 
 def split_indexed(c: Column, name: str) -> Column:
     """(index, value) of `name(index, value)`; null for other text."""
     inside = F.regexp_extract(c, rf"(?is)^\s*{name}\s*\((.*)\)\s*$", 1)
-    parts = split_top_level(inside, ",")
-    return F.when(F.size(parts) > 1, F.struct(F.trim(F.get(parts, F.lit(0))).alias("index"), F.trim(F.array_join(F.slice(parts, 2, 1_000_000), ",")).alias("value")))
+    return _first_and_rest(split_top_level(inside, ","), ",", "index", "value")
 
 
 def split_top_level_args(c: Column) -> Column:
@@ -216,11 +269,14 @@ def is_expression(c: Column) -> Column:
     outer = F.regexp_replace(c, r"^\s*\((.*)\)\s*$", "$1")
     balanced = final_paren_level(outer) == 0
     text = F.when(c.rlike(r"^\s*\(.*\)\s*$") & balanced & ~outer.rlike(r"^[^(]*\)"), outer).otherwise(c)
-    start = F.struct(F.lit(0).alias("level"), F.lit("").alias("top"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        level = F.when(ch == "(", acc["level"] + 1).when(ch == ")", F.greatest(acc["level"] - 1, F.lit(0))).otherwise(acc["level"])
-        return F.struct(level.cast("int").alias("level"), F.when((acc["level"] == 0) & ~ch.isin("(", ")"), F.concat(acc["top"], ch)).otherwise(acc["top"]).alias("top"))
+    def top(x: Column) -> Column:
+        text, marks = x["text"], x["marks"]
+        # what stands at level 0 before each mark, and after the last
+        before = lambda m, k: F.when(m["level"] == 0, _between(text, F.when(k == 0, F.lit(-1)).otherwise(F.get(marks, k - 1)["at"]), m["at"])).otherwise("")
+        last = F.when(F.size(marks) == 0, F.lit(-1)).otherwise(F.get(marks, F.size(marks) - 1)["at"])
+        after = F.when(final_paren_level(text) == 0, _between(text, last, F.char_length(text))).otherwise("")
+        return F.concat(F.array_join(F.transform(marks, before), ""), after)
 
-    top = F.aggregate(F.split(text, "(?!^)"), start, step, lambda acc: acc["top"])
-    return F.coalesce(top.rlike(r"[-+*/^<>=]|(?i)\b(and|or|not|lt|le|eq|ne|ge|gt)\b"), F.lit(False))
+    outside = _let(text, lambda t: _let(F.struct(t.alias("text"), _marked(t, "[()]").alias("marks")), top))
+    return F.coalesce(outside.rlike(r"[-+*/^<>=]|(?i)\b(and|or|not|lt|le|eq|ne|ge|gt)\b"), F.lit(False))

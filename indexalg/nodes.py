@@ -7,6 +7,7 @@ are rows of a table (see NODE_SCHEMA), numbered in pre-order.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -180,23 +181,62 @@ def depth(node: Node) -> int:
     return 1 + max(level for *_, level, _ in walk(node))
 
 
+def below(node: Node) -> tuple[list[tuple], list[list[int]]]:
+    """(rows of walk(), for each the places of its children in that list); parents come before children."""
+    rows = list(walk(node))
+    kids: list[list[int]] = [[] for _ in rows]
+    for i, (_, up, *_) in enumerate(rows):
+        if up is not None:
+            kids[up - 1].append(i)
+    return rows, kids
+
+
+def canons(node: Node) -> list[str]:
+    """Of all nodes in pre-order, a digest that is the same for trees that mean the same: parentheses and notes don't count, kinds do."""
+    rows, kids = below(node)
+    out = [""] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        x = rows[i][-1]
+        own = [x.kind, x.name, x.op, x.value, *([rows[j][2], out[j]] for j in kids[i])]
+        out[i] = hashlib.sha256(json.dumps(own, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    return out
+
+
 def canon(node: Node) -> str:
-    """One text for all trees that mean the same: parentheses and notes don't count, kinds do."""
-    return json.dumps([node.kind, node.name, node.op, node.value, *([s, canon(x)] for s, x in node.parts)], ensure_ascii=False, separators=(",", ":"))
+    """The digest of a whole tree."""
+    return canons(node)[0]
 
 
 def node_hash(node: Node) -> str:
     """CRC-32 of canon(), as eight hexadecimal digits."""
-    return f"{zlib.crc32(canon(node).encode()):08x}"
+    return _short(canon(node))
+
+
+def _short(digest: str) -> str:
+    return f"{zlib.crc32(digest.encode()):08x}"
 
 
 def rewrite(node: Node, change: Callable[[Node], Node]) -> Node:
     """`change` applied to all nodes, children first."""
-    parts = tuple((s, rewrite(x, change)) for s, x in node.parts)
-    return change(replace(node, parts=parts) if any(a is not b for (_, a), (_, b) in zip(parts, node.parts, strict=True)) else node)
+    rows, kids = below(node)
+    out: list[Node] = [x for *_, x in rows]
+    for i in range(len(rows) - 1, -1, -1):
+        x = rows[i][-1]
+        parts = tuple((s, out[j]) for (s, _), j in zip(x.parts, kids[i], strict=True))
+        out[i] = change(replace(x, parts=parts) if any(a is not b for (_, a), (_, b) in zip(parts, x.parts, strict=True)) else x)
+    return out[0]
 
 
-NODE_SCHEMA = "model_id string, eq string, node_id int, parent_id int, slot string, ord int, level int, node_type string, name string, op string, num_value double, text_value string, brackets boolean, dims array<string>, canon string, hash string"
+def left_spine(node: Node) -> tuple[Node, list[Node]]:
+    """(the innermost left operand, the binary expressions from there out to `node`): flat chains may be very long."""
+    outer = []
+    while node.kind == "expression":
+        outer.append(node)
+        node = node.get("lhs")
+    return node, outer[::-1]
+
+
+NODE_SCHEMA = "model_id string, eq string, node_id int, parent_id int, slot string, ord int, level int, node_type string, name string, op string, num_value double, text_value string, brackets boolean, dims array<string>, canon string, hash string, last_id int"
 
 
 def index_name(node: Node) -> str:
@@ -219,22 +259,26 @@ def number(x: float) -> str:
 
 
 def node_rows(node: Node, model_id: str, eq: str) -> list[tuple]:
-    """Rows of NODE_SCHEMA."""
+    """Rows of NODE_SCHEMA; last_id is the last node below each, as ids are in pre-order."""
+    rows, kids = below(node)
+    digests, last = canons(node), list(range(1, len(rows) + 1))
+    for i in range(len(rows) - 1, -1, -1):
+        if kids[i]:
+            last[i] = last[kids[i][-1]]
     return [
-        (model_id, eq, i, up, s, k, level, x.kind, x.name, x.op, x.value if isinstance(x.value, float) else None, x.value if isinstance(x.value, str) else None, x.brackets, [index_name(d) for d in x.dims], canon(x), node_hash(x))
-        for i, up, s, k, level, x in walk(node)
+        (model_id, eq, i, up, s, k, level, x.kind, x.name, x.op, x.value if isinstance(x.value, float) else None, x.value if isinstance(x.value, str) else None, x.brackets, [index_name(d) for d in x.dims], digests[i - 1], _short(digests[i - 1]), last[i - 1])
+        for i, up, s, k, level, x in rows
     ]
 
 
 def from_rows(rows: list) -> Node:
     """The tree of one equation's rows, in any order."""
-    below: dict[int | None, list] = {}
-    for r in rows:
-        below.setdefault(r["parent_id"], []).append(r)
-
-    def build(r) -> Node:
-        parts = tuple((x["slot"], build(x)) for x in sorted(below.get(r["node_id"], []), key=lambda x: x["ord"]))
+    rows = sorted(rows, key=lambda r: r["node_id"])
+    parts: dict[int, list] = {r["node_id"]: [] for r in rows}
+    for r in reversed(rows):  # children before parents
+        own = tuple((s, x) for _, s, x in sorted(parts[r["node_id"]], key=lambda p: p[0]))
         value = r["num_value"] if r["num_value"] is not None else r["text_value"]
-        return Node(r["node_type"], name=r["name"], op=r["op"], value=value, brackets=bool(r["brackets"]), parts=parts)
-
-    return build(below[None][0])
+        out = Node(r["node_type"], name=r["name"], op=r["op"], value=value, brackets=bool(r["brackets"]), parts=own)
+        if r["parent_id"] in parts:
+            parts[r["parent_id"]].append((r["ord"], r["slot"], out))
+    return out

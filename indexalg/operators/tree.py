@@ -22,7 +22,7 @@ def node_depth(nodes: DataFrame) -> DataFrame:
 
 
 def hashes(nodes: DataFrame, kind: str = "crc32") -> DataFrame:
-    """With `hash` of the canonical text."""
+    """With `hash` of the digest of what a node means."""
     return nodes.withColumn("hash", F.lower(F.lpad(F.hex(F.crc32(F.encode("canon", "UTF-8"))), 8, "0")) if kind == "crc32" else F.sha2("canon", 256))
 
 
@@ -31,19 +31,9 @@ def elements(nodes: DataFrame, slot: str) -> DataFrame:
     return nodes.where(F.col("slot") == slot)
 
 
-def subtree_ranges(nodes: DataFrame) -> DataFrame:
-    """With last_id, the last node below each: in pre-order a subtree is a run of ids, up to the next node that is no deeper."""
-    n = nodes.select(*_EQ, "node_id", "level")
-    after = n.alias("a").join(n.alias("b"), (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.eq") == F.col("b.eq")) & (F.col("b.node_id") > F.col("a.node_id")) & (F.col("b.level") <= F.col("a.level")), "left")
-    last = after.groupBy(F.col("a.model_id").alias("model_id"), F.col("a.eq").alias("eq"), F.col("a.node_id").alias("node_id")).agg((F.min("b.node_id") - 1).alias("next"))
-    end = nodes.groupBy(*_EQ).agg(F.max("node_id").alias("end"))
-    return nodes.join(last, [*_EQ, "node_id"]).join(end, _EQ).withColumn("last_id", F.coalesce("next", "end")).drop("next", "end")
-
-
 def replaced(nodes: DataFrame, slot: str, node_type: str, name: str) -> DataFrame:
     """Subtrees in a slot replaced by a leaf; ids are kept, so those below are gone."""
-    ranged = subtree_ranges(nodes)
-    cut = ranged.where(F.col("slot") == slot).select(*_EQ, F.col("node_id").alias("top"), "last_id")
+    cut = nodes.where(F.col("slot") == slot).select(*_EQ, F.col("node_id").alias("top"), "last_id")
     below = (F.col("n.model_id") == F.col("c.model_id")) & (F.col("n.eq") == F.col("c.eq")) & (F.col("n.node_id") > F.col("c.top")) & (F.col("n.node_id") <= F.col("c.last_id"))
     left = nodes.alias("n").join(cut.alias("c"), below, "left_anti")
     here = F.col("slot") == slot

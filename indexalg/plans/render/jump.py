@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ...nodes import Node, index_name, number
+from collections import deque
+
+from ...nodes import Node, index_name, left_spine, number
 
 #: Spellings of operators.
 SPELLINGS = {"<>": "!=", "=": "==", "**": "^", "and": "&&", "&": "&&", "or": "||", "|": "||", "not": "!", "lt": "<", "le": "<=", "eq": "==", "ne": "!=", "ge": ">=", "gt": ">"}
@@ -38,7 +40,14 @@ def as_jump(node: Node) -> str:
     if k == "dims":
         return f"({', '.join(index_name(d) for d in node.dims)})"
     if k == "expression":
-        return f"{_group(node.get('lhs'))} {SPELLINGS.get(node.op, node.op)} {_group(node.get('rhs'))}"
+        first, outer = left_spine(node)
+        out = deque([_group(first)])
+        for k, x in enumerate(outer):
+            if k and outer[k - 1].brackets:
+                out.appendleft("(")
+                out.append(")")
+            out.append(f" {SPELLINGS.get(x.op, x.op)} {_group(x.get('rhs'))}")
+        return "".join(out)
     if k == "unary":
         x = node.get("rhs")
         return f"{SPELLINGS.get(node.op, node.op)}{f'({as_jump(x)})' if x.kind == 'expression' else as_jump(x)}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ...nodes import Node, index_name, number
+from ...nodes import Node, index_name, left_spine, number
 
 WIDTH = 50
 
@@ -26,7 +26,8 @@ def as_text(node: Node, width: int | None = WIDTH) -> str:
     if k == "set":
         return f"set: {node.name}"
     if k == "expression":
-        return cut(f"{as_text(node.get('lhs'), None)} {node.op} {as_text(node.get('rhs'), None)}", width)
+        first, outer = left_spine(node)
+        return cut("".join([as_text(first, None), *(f" {x.op} {as_text(x.get('rhs'), None)}" for x in outer)]), width)
     if k == "unary":
         return f"{node.op}({as_text(node.get('rhs'))})"
     if k == "when":
@@ -46,29 +47,35 @@ def as_text(node: Node, width: int | None = WIDTH) -> str:
 
 def show(node: Node) -> str:
     """Some lines about a node, its parts below it."""
-    k, out = node.kind, []
+    out, todo = [], [(0, node)]
+    while todo:
+        indent, x = todo.pop()
+        lines, below = ([x], []) if isinstance(x, str) else _shown(x)
+        out += [" " * indent + line for line in lines]
+        for slot, child in reversed(below):
+            todo += [(indent + 4, child), (indent + 2, f"{slot}:")]
+    return "\n".join(out)
+
+
+def _shown(node: Node) -> tuple[list[str], list[tuple[str, Node]]]:
+    """(a node's own lines, the parts that are shown below them)."""
+    k = node.kind
     if k == "equation":
-        out = [f"<AST equation> {node.name}"]
-        if node.get("domain"):
-            out.append(f"  domain:  {as_text(node.get('domain'))}")
-        return "\n".join([*out, f"  relation:  {node.op}", f"  lhs:  {as_text(node.get('lhs'))}", f"  rhs:  {as_text(node.get('rhs'))}"])
+        domain = [f"  domain:  {as_text(node.get('domain'))}"] if node.get("domain") else []
+        return [f"<AST equation> {node.name}", *domain, f"  relation:  {node.op}", f"  lhs:  {as_text(node.get('lhs'))}", f"  rhs:  {as_text(node.get('rhs'))}"], []
     if k in ("sum", "prod"):
-        return f"<AST {k}> {as_text(node.get('index'))}\n  value:  {as_text(node.get('value'))}"
+        return [f"<AST {k}> {as_text(node.get('index'))}", f"  value:  {as_text(node.get('value'))}"], []
     if k == "where":
-        return f"<AST where> {node.name}\ncontent:  {as_text(node.get('content'))}"
+        return [f"<AST where> {node.name}", f"content:  {as_text(node.get('content'))}"], []
     if k == "func":
         index = node.get("index")
-        return "\n".join(["<func>", f"  name:    {node.name}", *([f"  index:  {as_text(index)}"] if index else []), *(f"  value:  {as_text(v)}" for v in node.all("value"))])
+        return ["<func>", f"  name:    {node.name}", *([f"  index:  {as_text(index)}"] if index else []), *(f"  value:  {as_text(v)}" for v in node.all("value"))], []
     if k == "dims":
-        return f"<AST dims>\n{dims_text(node)}"
+        return ["<AST dims>", dims_text(node)], []
     head = f"<AST {k}> {node.op or node.name or (as_text(node) if k == 'constant' else '')}".rstrip()
     if k in ("expression", "unary", "when"):
-        for slot, child in node.parts:
-            out.append(f"  {slot}:")
-            out += [f"    {line}" for line in show(child).split("\n")]
-    elif node.dims:
-        out.append(f"  dims:  {dims_text(node)}")
-    return "\n".join([head, *out])
+        return [head], list(node.parts)
+    return [head, *([f"  dims:  {dims_text(node)}"] if node.dims else [])], []
 
 
 def show_model(model) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from ..nodes import Node, ast_where, canon, node_hash, rewrite, walk
+from ..nodes import Node, ast_where, below, canons, node_hash, rewrite, walk
 
 #: Short names of common indices.
 SHORT_NAMES = {
@@ -48,11 +48,22 @@ def number_conditions(node: Node, length: Callable[[Node], int], kind: str = "wh
 
 def shared_names(node: Node, prefix: str = "m") -> Node:
     """Where nodes with equal content get one name: m1, m2, ... in order of first appearance."""
-    names: dict[str, str] = {}
-    for *_, x in walk(node):
+    rows, kids = below(node)
+    digests, names, named = canons(node), {}, {}
+    for (i, *_, x), own in zip(rows, kids, strict=True):
         if x.kind == "where":
-            names.setdefault(canon(x.get("content")), f"{prefix}{len(names) + 1}")
-    return rewrite(node, lambda x: replace(x, name=names.get(canon(x.get("content")), x.name)) if x.kind == "where" else x) if names else node
+            content = next(j for j in own if rows[j][2] == "content")
+            named[i] = names.setdefault(digests[content], f"{prefix}{len(names) + 1}")
+    return _with_names(rows, kids, named) if named else node
+
+
+def _with_names(rows: list[tuple], kids: list[list[int]], names: dict[int, str]) -> Node:
+    out = [x for *_, x in rows]
+    for i in range(len(rows) - 1, -1, -1):
+        x = out[i]
+        parts = tuple((s, out[j]) for (s, _), j in zip(x.parts, kids[i], strict=True))
+        out[i] = replace(x, parts=parts, name=names.get(i + 1, x.name))
+    return out[0]
 
 
 def where_nodes(node: Node) -> dict[str, Node]:
