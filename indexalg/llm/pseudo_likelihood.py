@@ -68,7 +68,7 @@ FAN = 8
 #: Distinct words a task counts before it hands the counts on.
 COUNTED = 1_000_000
 #: Tokens scored at once.
-CHUNK = 1 << 13
+CHUNK = 1 << 12
 
 
 class Network:
@@ -157,10 +157,9 @@ class Network:
             g /= np.sqrt(sums[k], out=square)
             w[k] -= g
         for k in range(len(OFFSETS)):
-            order = _order(context[k])
-            rows = context[k].take(order)
-            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            rows, g = rows.take(first), np.add.reduceat(back.take(order, axis=0), first, axis=0)
+            rows = np.flatnonzero(np.bincount(context[k], minlength=TOKENS + 1))
+            g = np.bincount((context[k][:, None] * WIDTH + np.arange(WIDTH)).ravel(), weights=back.ravel(), minlength=(TOKENS + 1) * WIDTH)
+            g = g.reshape(TOKENS + 1, WIDTH).take(rows, axis=0).astype(np.float32)
             total = sums["embed"][k].take(rows, axis=0)
             total += g * g
             sums["embed"][k][rows] = total
@@ -174,19 +173,26 @@ def _order(tokens: np.ndarray) -> np.ndarray:
     return np.argsort(tokens.astype(np.uint16), kind="stable")
 
 
+def _powers(z: np.ndarray) -> np.ndarray | float:
+    """Overwrites `z` by its exponentials, those of each row but for a factor; returns that factor's logarithm."""
+    top = 0.0
+    if not (-60 < z.min(initial=0) and z.max(initial=0) < 60):
+        top = z.max(1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return top
+
+
 def _shares(z: np.ndarray) -> np.ndarray:
     """The probabilities of each row's logits; overwrites `z`."""
-    z -= z.max(1)[:, None]
-    np.exp(z, out=z)
+    _powers(z)
     z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
     """Overwrites `z`."""
-    top = z.max(1)
-    z -= top[:, None]
-    np.exp(z, out=z)
+    top = _powers(z)
     return top + np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
@@ -478,20 +484,13 @@ def _keys(ids: pa.Array, words: np.ndarray, count: np.ndarray) -> np.ndarray:
     return mix(mix(ids + np.uint64(1)) + total[end] - total[end - count])
 
 
-@tidy
-def _rare(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
-    """(word, key of its row) of each occurrence of a word without a token of its own whose count is not at hand."""
-    vocabulary, _ = _stored(folder, path)
-    for batch, data, off in slices(rows, "text"):
-        words, count = words_of(data, off, SPACED)
-        rare = np.flatnonzero(vocabulary.tokens(words) >= TOKENS - RARE)
-        rare = rare[np.isnan(vocabulary.log_counts(words[rare]))]
-        key = np.repeat(_keys(batch.column(0), words, count), count)[rare]
-        yield pa.RecordBatch.from_arrays([pa.array(words[rare].view(np.int64)), pa.array(key.view(np.int64))], ["word", "key"])
+_SCORED = ["doc_id", "key", "n_tokens", "score", "word"]
 
 
 @tidy
 def _scored(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+    """For each row (doc_id, key, n_tokens, score), and for each occurrence of a word without a token of its own whose count is not at hand (key, word)."""
+    keep_memory()
     vocabulary, weights = _stored(folder, path)
     network = Network(weights)
     # the part of a rare word's logarithm that its token tells; the word's count is joined
@@ -505,12 +504,16 @@ def _scored(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[
             each[lo : lo + CHUNK] = network.log_probabilities(context[:, lo : lo + CHUNK], tokens[lo : lo + CHUNK])
         each += shared[tokens]
         rare = np.flatnonzero(tokens >= TOKENS - RARE)
-        each[rare] += np.nan_to_num(vocabulary.log_counts(words[rare]))
+        logs = vocabulary.log_counts(words[rare])
+        each[rare] += np.nan_to_num(logs)
         total = np.concatenate(([0.0], np.cumsum(each)))
         end = np.cumsum(count)
         score = np.where(count > 0, total[end] - total[end - count], 0.0)
-        columns = [batch.column(0), pa.array(_keys(batch.column(0), words, count).view(np.int64)), pa.array(count), pa.array(score)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_tokens", "score"])
+        key = _keys(batch.column(0), words, count).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(count), pa.array(score), pa.nulls(len(count), pa.int64())], _SCORED)
+        asked = rare[np.isnan(logs)]
+        none = [pa.nulls(len(asked), kind) for kind in (pa.int64(), pa.int64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(np.repeat(key, count)[asked]), *none[1:], pa.array(words[asked].view(np.int64))], _SCORED)
 
 
 def pseudo_likelihoods(docs: DataFrame, model: tuple[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -524,10 +527,10 @@ def pseudo_likelihoods(docs: DataFrame, model: tuple[str, str] | None = None, do
     folder, path = model or train_model(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = docs.sparkSession.read.schema("word long, n long").parquet(_counts(folder)).where((F.col("n") > 1) & (F.col("n") < _stored(folder, path)[0].least))
-    rare = rows.mapInArrow(lambda batches: _rare(batches, folder, path), "word long, key long")
+    found = cut(rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, key long, n_tokens long, score double, word long"))
+    scored, rare = found.where("n_tokens IS NOT NULL").drop("word"), found.where("n_tokens IS NULL").select("word", "key")
     # words that occur once, and unseen ones, add log 1; repeated rows share a key, whose sum is then theirs together
     known = rare.join(counts, "word").groupBy("key").agg(F.sum(F.log("n")).alias("logs"))
-    scored = cut(rows.mapInArrow(lambda batches: _scored(batches, folder, path), "doc_id long, key long, n_tokens long, score double"))
     copies = scored.groupBy("key").agg(F.count("*").alias("copies"))
     logs = cut(known.join(copies, "key").select("key", (F.col("logs") / F.col("copies")).alias("logs")))
     likelihood = F.when(F.col("n_tokens") > 0, F.col("score") + F.coalesce("logs", F.lit(0.0))).otherwise(0.0)
