@@ -19,9 +19,9 @@ from .functions.scan import ScanOperators, Tokens, ranks
 from .operators import tree as R
 from .operators.compile import VALUE, Bindings, Compiler, subset_violations
 from .plans.render import latex
-from .plans.render.gams import as_gams, model_lines
+from .plans.render.gams import as_gams
 from .plans.render.jump import as_jump
-from .plans.render.text import as_text, show_model
+from .plans.render.text import as_text
 from .sources.parser import Registry, infer_vtype, parse_equation, parse_expression
 from .sources.reader import include_lines, read_model, read_models
 from .sources.sample import SUPPLY
@@ -277,13 +277,6 @@ def fn_vocabulary(spark, sf_dir):
     return spark.range(1001).select(F.col("id").alias("l_linenumber"), *(F.round(apply(n, *args.get(n, [x])).cast("double"), 6).alias(f"f_{n}") for n in _MATH))
 
 
-@query(None)
-def fn_erf(spark, sf_dir):
-    """erf, erfc, round."""
-    x = (F.col("id") - 500) / 250
-    return spark.range(1001).select("id", apply("erf", x).alias("f_erf"), apply("erfc", x).alias("f_erfc"), apply("round", x).alias("f_round"))
-
-
 @query("SELECT n_nationkey AS r, s_suppkey AS s FROM nation, supplier WHERE s_acctbal > n_nationkey * 400 AND (n_nationkey < 5 OR NOT s_acctbal <= 9000)")
 def logical_theta(spark, sf_dir):
     """Comparisons of terms with different indices, and, or, not, words as operators."""
@@ -391,11 +384,10 @@ def escape_text(spark, sf_dir):
     return Tables(spark, sf_dir).benchmark.select("item_id", T.escape_latex(F.concat("text", F.lit(" a_b #1 50% {x} ~ ^ \\c & $"))).alias("escaped"))
 
 
-@query("SELECT item_id, '$\\textbf{' || regexp_replace(a, '([#%&$_{}])', '\\\\\\1', 'g') || '} \\le \\textbf{' || 'b\\_1}$' AS styled FROM (SELECT item_id, trim(split_part(text, ' ', 1) || '_x') AS a FROM benchmark)")
+@query("SELECT item_id, '$\\textbf{' || regexp_replace(regexp_replace(trim(text) || '_x', '\\\\', '\\\\textbackslash{}', 'g'), '([#%&$_{}])', '\\\\\\1', 'g') || '} \\le \\textbf{' || 'b\\_1}$' AS styled FROM benchmark")
 def latex_relation(spark, sf_dir):
-    """A text with one relation."""
-    text = F.concat(F.split("text", " ")[0], F.lit("_x <= b_1"))
-    return Tables(spark, sf_dir).benchmark.select("item_id", T.latex_text(text, math=True, bold=True).alias("styled"))
+    """Whole texts as the left side of a relation."""
+    return Tables(spark, sf_dir).benchmark.select("item_id", T.latex_text(F.concat(F.trim("text"), F.lit("_x <= b_1")), math=True, bold=True).alias("styled"))
 
 
 _LATEX = "'\\sum_{i} \\frac{a}{b} \\text{x' || page_id || '} \\cdot y_{' || length(html) || '} + \\prod_{j} \\mathsf{abc}'"
@@ -604,13 +596,6 @@ def tree_depth(spark, sf_dir):
     return R.node_depth(read_models(_texts(spark, sf_dir), "ast_nodes"))
 
 
-@query(f"SELECT model_id, eq, node_id FROM {_MODELS}, (VALUES ('eqTotal', 5), ('eqCap', 19)) AS t(eq, node_id)")
-def slot_elements(spark, sf_dir):
-    """Conditions that are worth a name."""
-    nodes = read_models(_texts(spark, sf_dir), "ast_nodes")
-    return R.where_candidates(nodes, F.length("canon")).select("model_id", "eq", "node_id")
-
-
 @query(f"SELECT model_id, node_id, node_type, name FROM {_MODELS}, (VALUES (1, 'equation', 'eqTotal'), (2, 'variable', 'vTotal'), (3, 'func', 'sum'), (4, 'where', 's1'), (12, 'expression', NULL), (13, 'parameter', 'cost'), (14, 'dims', NULL), (15, 'set', 'r'), (16, 'set', 'y'), (17, 'parameter', 'len'), (18, 'dims', NULL), (19, 'set', 'y')) AS t(node_id, node_type, name)")
 def slot_replace(spark, sf_dir):
     """Subtrees replaced by a leaf."""
@@ -675,37 +660,22 @@ def render_gams(spark, sf_dir):
     return _rendered(spark, [(e.name, as_gams(e.node)) for e in supply().equations])
 
 
-@query("SELECT * FROM (VALUES ('eqTotal', 'vTotal == sum(if (mv[r,y]) {[r,y]}, cost[r,y] * len[y])'), ('eqCap', 'vFlow[r,y] <= cost[r,y] + if (ord(set: y) > 1) {len[y]}')) AS t(eq, text)")
+@query("SELECT * FROM (VALUES ('eqTotal', 'vTotal == sum(if (mv[r,y]) {[r,y]}, cost[r,y] * len[y])'), ('eqCap', 'vFlow[r,y] <= cost[r,y] + if (ord(set: y) > 1) {len[y]}'), ('eqShare', 'vFlow[r,y] - cost[r,y] - len[y] >= -(vTotal / 1 + card(set: y))')) AS t(eq, text)")
 def render_text(spark, sf_dir):
     """F1."""
-    return _rendered(spark, [(e.name, as_text(e.node)) for e in supply().equations if e.name != "eqShare"])
+    return _rendered(spark, [(e.name, as_text(e.node)) for e in supply().equations])
 
 
-@query("SELECT * FROM (VALUES ('eqTotal', '@constraint(\n  model, \n  vTotal == sum(cost[r, y] * len[y] for (r, y) in mv)\n);'), ('eqCap', '@constraint(\n  model, [r in r, y in y; haskey(mv, (r, y))], \n  vFlow[r, y] <= cost[r, y] + (ord(y) > 1 ? len[y] : 0)\n);')) AS t(eq, text)")
+@query("SELECT * FROM (VALUES ('eqTotal', '@constraint(\n  model, \n  vTotal == sum(cost[r, y] * len[y] for (r, y) in mv)\n);'), ('eqCap', '@constraint(\n  model, [r in r, y in y; haskey(mv, (r, y))], \n  vFlow[r, y] <= cost[r, y] + (ord(y) > 1 ? len[y] : 0)\n);'), ('eqShare', '@constraint(\n  model, [r in r, y in y; haskey(mv, (r, y))], \n  vFlow[r, y] - cost[r, y] - len[y] >= -(vTotal / (1 + length(y)))\n);')) AS t(eq, text)")
 def render_jump(spark, sf_dir):
     """F3."""
-    return _rendered(spark, [(e.name, as_jump(e.node)) for e in supply().equations if e.name != "eqShare"])
+    return _rendered(spark, [(e.name, as_jump(e.node)) for e in supply().equations])
 
 
-@query("SELECT * FROM (VALUES ('eqTotal', '\\sum_{\\text{r}, \\text{y} \\in \\mathsf{mv}_{\\text{r},\\text{y}}} \\mathsf{cost}_{\\text{r},\\text{y}}  \\cdot  \\mathsf{len}_{\\text{y}}'), ('eqShare', ' - [ \\bm{\\mathit{vTotal}}  \\div  [ 1  +  card(\\text{y}) ] ]')) AS t(eq, text)")
+@query("SELECT * FROM (VALUES ('eqTotal', '\\sum_{\\text{r}, \\text{y} \\in \\mathsf{mv}_{\\text{r},\\text{y}}} \\mathsf{cost}_{\\text{r},\\text{y}}  \\cdot  \\mathsf{len}_{\\text{y}}'), ('eqCap', '\\mathsf{cost}_{\\text{r},\\text{y}}  +  \\mathsf{len}_{\\text{y}} \\mid ord(\\text{y})  >  1'), ('eqShare', ' - [ \\bm{\\mathit{vTotal}}  \\div  [ 1  +  card(\\text{y}) ] ]')) AS t(eq, text)")
 def render_latex(spark, sf_dir):
     """right sides."""
-    return _rendered(spark, [(e.name, latex.as_latex(e.node.get("rhs"))) for e in supply().equations if e.name != "eqCap"])
-
-
-@query(None)
-def write_gams_lines(spark, sf_dir):
-    """A model's text, line by line."""
-    return spark.createDataFrame(list(enumerate(model_lines(supply()))), "ord int, line string")
-
-
-@query(None)
-def write_latex_lines(spark, sf_dir):
-    """A model's document, line by line."""
-    return spark.createDataFrame(list(enumerate(latex.model_document(supply()).split("\n"))), "ord int, line string")
+    return _rendered(spark, [(e.name, latex.as_latex(e.node.get("rhs"))) for e in supply().equations])
 
 
-@query(None)
-def print_model(spark, sf_dir):
-    """F8: name and counts."""
-    return spark.createDataFrame(list(enumerate(show_model(supply()).split("\n"))), "ord int, line string")
+from . import model_queries  # noqa: E402, F401 - adds its queries

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..nodes import NODE_SCHEMA, Node, node_rows
+from ..nodes import NODE_SCHEMA, Node, node_rows, walk
 from .lexer import ParseError
 from .parser import Registry, parse_equation
 
@@ -272,13 +272,15 @@ SCHEMAS = {
     "aliases": "model_id string, group_id int, ord int, member string",
     "equations": "model_id string, name string, descr string, dims array<string>, relation string, domain_text string, body_text string, ord int",
     "ast_nodes": NODE_SCHEMA,
+    "named_nodes": NODE_SCHEMA,
+    "lengths": "model_id string, eq string, node_id int, latex_length int",
     "data": "model_id string, kind string, name string, keys array<string>, value double",
     "diagnostics": "model_id string, name string, message string",
 }
 
 
 def table_rows(model: Model, model_id: str, table: str) -> list[tuple]:
-    """A model's rows of one of SCHEMAS."""
+    """A model's rows of one of SCHEMAS: named_nodes are the trees with their long conditions named, lengths those of conditions in LaTeX."""
     if table == "symbols":
         return [(model_id, s.kind, s.name, s.desc, s.dims, s.vtype, k) for k, s in enumerate(model.symbols, 1)]
     if table == "aliases":
@@ -287,6 +289,13 @@ def table_rows(model: Model, model_id: str, table: str) -> list[tuple]:
         return [(model_id, e.name, e.desc, e.dims, e.node.op if e.node else None, e.domain, e.body, k) for k, e in enumerate(model.equations, 1)]
     if table == "ast_nodes":
         return [r for e in model.equations if e.node for r in node_rows(e.node, model_id, e.name)]
+    if table in ("named_nodes", "lengths"):
+        from ..plans.render.latex import as_latex
+        from ..plans.rewrite import number_conditions
+
+        if table == "named_nodes":
+            return [r for e in model.equations if e.node for r in node_rows(number_conditions(e.node, lambda x: len(as_latex(x))), model_id, e.name)]
+        return [(model_id, e.name, i, len(as_latex(x))) for e in model.equations if e.node for i, _, slot, *_, x in walk(e.node) if slot == "condition"]
     if table == "data":
         return [(model_id, s.kind, s.name, [str(x) for x in row[: len(s.dims) or (1 if s.kind == "set" else 0)]], float(row[-1]) if isinstance(row[-1], float) else None) for s in model.symbols for row in s.data]
     if table == "diagnostics":

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..nodes import Node
-from ..plans.render import latex
+from ..plans.render import jump, latex
 from ..plans.render.gams import model_lines
+from ..plans.render.text import show, show_model
 from .reader import Model, clean_lines, read_model
 
 
@@ -35,8 +36,26 @@ def write_latex(what: Model | Node, path: str | None = None, append: bool = Fals
     return text
 
 
-def text_lines(texts: DataFrame, form: str = "gams") -> DataFrame:
-    """(model_id, ord, line) of many models (model_id, text): `gams` and `latex` rendered anew, `interim` the cleaned source."""
+def _jump(model: Model) -> list[str]:
+    out = [jump.declaration(s) for s in model.symbols]
+    for e in model.equations:
+        if e.node is not None:
+            out += jump.as_jump(e.node).split("\n")
+    return out
+
+
+def _print(model: Model) -> list[str]:
+    return "\n".join([show_model(model), *(show(e.node) for e in model.equations if e.node is not None)]).split("\n")
+
+
+FORMS = {"gams": model_lines, "latex": lambda model, **options: latex.model_document(model, **options).split("\n"), "jump": _jump, "print": _print}
+
+
+def text_lines(texts: DataFrame, form: str = "gams", **options) -> DataFrame:
+    """(model_id, ord, line) of many models (model_id, text): `gams`, `latex`, `jump` and `print` rendered anew, `interim` the cleaned source.
+
+    `options` are those of latex.model_document().
+    """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,13 +65,13 @@ def text_lines(texts: DataFrame, form: str = "gams") -> DataFrame:
                     own = clean_lines((t or "").split("\n"))
                 else:
                     model = read_model(t or "", m)
-                    own = model_lines(model) if form == "gams" else latex.model_document(model).split("\n")
+                    own = FORMS[form](model, **options)
                 ids += [m] * len(own)
                 order += range(len(own))
                 lines += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(order, pa.int32()), pa.array(lines, pa.string())], ["model_id", "ord", "line"])
 
-    if form not in ("gams", "latex", "interim"):
+    if form != "interim" and form not in FORMS:
         raise ValueError(f"no form {form!r}")
     return texts.select(F.col("model_id").cast("string"), F.col("text").cast("string")).mapInArrow(render, "model_id string, ord int, line string")
 

@@ -91,3 +91,12 @@ def test_unbound_names(compiler):
 def test_conditions_reach_the_join(compiler):
     plan = compiler.table(parse_expression("sum((r,y)$mv(r,y), p(r,y) * q(y))", R))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_sums_over_the_facts_are_computed_once(spark):
+    from indexalg import queries
+
+    df = queries.entry_total(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
