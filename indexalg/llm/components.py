@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, join_hot
+from .shared import cut, drop_shuffles, join_hot
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = cut(join_hot(join_hot(edges, left, ["a"]), right, ["b"], counted=edges).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop_shuffles(edges.sparkSession)
         if home is None:
             home = step
         else:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches_of, cut, join_hot, unused
+from .shared import batches_of, cut, drop_shuffles, join_hot, unused
 from .tidy import tidy
 from .words import SPACED, U, mix, shingles_of, slices, words_of
 
@@ -306,6 +306,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own = some.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= BROADCAST_IDS else some.join(one, F.col("doc_id") == F.col("rep"), "left_semi")
     bucket = Window.partitionBy("sig")
     entries = cut(own.mapInArrow(lambda rows: _signed(rows, width, threshold / 100), "sig long, rep long").select("sig", "rep", F.min("rep").over(bucket).alias("pivot"), F.max("rep").over(bucket).alias("top")).where("pivot < top").drop("top").distinct())
+    drop_shuffles(docs.sparkSession)
     known = sets.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_SKETCH)
     known = cut(known.join(entries.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", *_SKETCH]))
 
@@ -340,6 +341,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         star = join_hot(cut(star), side("a", "p"), ["a"]).join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
         links = checked(star)
+        drop_shuffles(docs.sparkSession)
         label = components(links).withColumnRenamed("node", "rep")
         named = cut(entries.join(label, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label")))
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return rest.unionByName(left.join(few, on, "left_semi").join(F.broadcast(own), on, how))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of tables that nothing refers to any more; else that waits for the driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(name: str, columns: list[str]) -> str:
     """`name`, lengthened until no column is named so, whatever the case."""
     taken = {c.lower() for c in columns}
