@@ -14,7 +14,7 @@ from indexalg.llm.decontamination import decontaminated
 from indexalg.llm.jump_sharding import assign_shards, write_shards
 from indexalg.llm.ngram_jaccard_join import one_of_each_class
 from indexalg.llm.quality_classifier import classify, fit_classifier, rated
-from indexalg.llm.shared import fresh_folder, table, unused
+from indexalg.llm.shared import drop_shuffles, fresh_folder, table, unused
 from indexalg.llm.source_mixing import mix_sources
 
 
@@ -27,11 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near copies."""
+    drop_shuffles(spark)
     return one_of_each_class(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents; cuts the passages out of those with traces."""
+    drop_shuffles(spark)
     clean = decontaminated(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -41,6 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Input columns named like those the mix adds (size, source_size, target, taken) come back unchanged.
     """
+    drop_shuffles(spark)
     added = ["size", "source_size", "target", "taken"]
     away, names = {}, [*docs.columns, *added]
     for c in docs.columns:
@@ -58,6 +61,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeats of a document have slots of their own in its shard.
     """
+    drop_shuffles(spark)
     folder = fresh_folder(spark, "shards")
     rows = assign_shards(docs, keep=True)
     write_shards(rows, folder)
