@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT_KEYS = 256, 1000
 #: Rows and bytes for the hot keys that are broadcast; beyond, they are joined like the others.
 HOT_MATCHES, HOT_BYTES = 100_000, 64 << 20
+#: A table in the checkpoint folder is read back in parts of so many bytes, but in no fewer than TASKS for each core.
+PART_BYTES, TASKS = 8 << 20, 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,9 +35,18 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the checkpoint folder, without lineage."""
+    """`df` computed once and kept in the checkpoint folder, without lineage.
+
+    Many small files are read back by few tasks: what follows then writes a
+    shuffle file for each of those instead of one for each file.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out, sc = df.checkpoint(eager=True), df.sparkSession.sparkContext
+    rdd = out._jdf.queryExecution().logical().rdd()
+    path = sc._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    parts = max(TASKS * sc.defaultParallelism, -(-size // PART_BYTES))
+    return out.coalesce(parts) if 2 * parts <= rdd.getNumPartitions() else out
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None, counted: DataFrame | None = None) -> DataFrame:
