@@ -28,7 +28,11 @@ Candidates are then checked exactly, without writing out all pairs of a bucket:
 first every member against its bucket's smallest document, which joins large
 groups of near copies; then, in buckets that still hold several components, all
 pairs of different components, in blocks, sifted by parity sketches (the
-sketches of two sets differ in at most d bits, so sifting loses nothing). Where
+sketches of two sets differ in at most d bits, so sifting loses nothing). These
+have at least two bits an element: a sketch of fixed size would let pass all
+pairs of large sets. Of buckets with the same members one is compared, and
+blocks are dealt into groups that are sent each document's sketch once and give
+each pair that is left once. Where
 all links are asked for, not only the classes they make, every pair of different
 sets in a bucket is compared so: the links of a class of n sets may be n * n / 2.
 """
@@ -51,6 +55,10 @@ from .words import SPACED, U, mix, shingles_of, slices, words_of
 SKETCH_WORDS = 8
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Blocks are dealt into so many groups a shuffle partition, and more where a group would have more than GROUP_ROWS rows.
+GROUPS, GROUP_ROWS = 4, 20_000
+#: Pairs of a group that are kept before they are sifted.
+KEPT_PAIRS = 1 << 21
 #: Pairs that go to a worker at once, each with two whole sets.
 PAIR_ROWS = 256
 #: So many ids (16 bytes each) of documents to be checked are broadcast; more are joined by sort and merge, which moves all texts.
@@ -184,21 +192,23 @@ def _signed(rows: Iterator[pa.RecordBatch], width: int, threshold: float) -> Ite
 @tidy
 def _shingle_lists(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch, values, each in _sets(rows, width):
-        end = np.cumsum(each)
-        lists = [values[e - k : e].tobytes() for e, k in zip(end.tolist(), each.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lists, pa.binary())], ["rep", "shingles"])
+        some = np.flatnonzero(each)
+        end = np.cumsum(each)[some]
+        lists = [values[e - k : e].tobytes() for e, k in zip(end.tolist(), each[some].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), pa.array(lists, pa.binary())], ["rep", "shingles"])
 
 
 @tidy
 def _parities(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A sketch as in sketches(), but of about two bits an element."""
+    """A sketch as in sketches(), but of at least two bits an element; of no empty set."""
     for batch, values, each in _sets(rows, width):
-        out, end = [], np.cumsum(each)
-        for e, k in zip(end.tolist(), each.tolist(), strict=True):
-            bits = 1 << max(6, (2 * k - 1).bit_length())
+        some = np.flatnonzero(each)
+        out, end = [], np.cumsum(each)[some]
+        for e, k in zip(end.tolist(), each[some].tolist(), strict=True):
+            bits = max(64 * SKETCH_WORDS, 1 << (2 * k - 1).bit_length())
             count = np.bincount((mix(values[e - k : e] ^ U(0x2545F491)) & U(bits - 1)).astype(np.int64), minlength=bits)
             out.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _long(each), pa.array(out, pa.binary())], ["rep", "n", "parity"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), _long(each[some]), pa.array(out, pa.binary())], ["rep", "n", "parity"])
 
 
 @tidy
@@ -232,54 +242,121 @@ def _linked(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Recor
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-@tidy
-def _crossed(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each block that sketches don't rule out.
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bins, by parity of those that fall together."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
-    Rows come in runs of one (sig, lo, hi); a run is at most two blocks.
-    """
-    seen: np.ndarray | None = None
 
-    def pairs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        m = len(x["rep"])
-        left, right = [], []
+class _Group:
+    """Sketches of a group's documents, and the pairs of its blocks that they don't rule out."""
+
+    def __init__(self, rep: list[np.ndarray], n: list[np.ndarray], sketch: list[np.ndarray], share: float):
+        rep, order = np.concatenate(rep), np.argsort(np.concatenate(rep), kind="stable")
+        self.rep, self.n, self.share = rep[order], np.concatenate(n)[order], share
+        self.sketch = [sketch[k] for k in order.tolist()]
+        self.coarse = np.stack([_folded(s, SKETCH_WORDS) for s in self.sketch], axis=1)
+        self.found: list[np.ndarray] = []
+        self.kept = 0
+
+    def add(self, rep: np.ndarray, side: np.ndarray, label: np.ndarray, twice: bool) -> None:
+        """Pairs of different components in a block, of unlike sides if it is of two parts of a bucket."""
+        first = np.searchsorted(self.rep, rep)
+        each = np.searchsorted(self.rep, rep, "right") - first  # several if texts share a doc_id
+        at = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        side, label, n, m = np.repeat(side, each), np.repeat(label, each), self.n[at], len(at)
         for lo in range(0, m, 256):
-            hi = min(m, lo + 256)
-            a, b = slice(lo, hi), slice(lo, m)
-            ok = x["label"][a, None] != x["label"][None, b]
-            ok &= np.arange(lo, hi)[:, None] < np.arange(lo, m)[None]
-            ok &= (x["side"][a, None] != x["side"][None, b]) | (x["lo"][0] == x["hi"][0])
+            a, b = slice(lo, min(m, lo + 256)), slice(lo, m)
+            ok = label[a, None] != label[None, b]
+            ok &= np.arange(m)[a, None] < np.arange(m)[None, b]
+            if twice:
+                ok &= side[a, None] != side[None, b]
+            ok &= np.abs(n[a, None] - n[None, b]) <= self.share * (n[a, None] + n[None, b]) + 1e-9
             i, j = np.nonzero(ok)
-            i, j = i + lo, j + lo
+            i, j = at[i + lo], at[j + lo]
             differ = np.zeros(len(i), np.int64)
-            for s in _SKETCH:
-                differ += np.bitwise_count((x[s][i] ^ x[s][j]).view(U))  # of a negative number it would count the bits of its absolute value
-            n, k = x["n"][i], x["n"][j]
-            ok = (np.maximum(differ, np.abs(n - k)) <= share * (n + k) + 1e-9) & (x["rep"][i] != x["rep"][j])
-            left.append(x["rep"][i[ok]])
-            right.append(x["rep"][j[ok]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def done(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+            for s in self.coarse:
+                differ += np.bitwise_count(s[i] ^ s[j])
+            ok = (differ <= self.share * (self.n[i] + self.n[j]) + 1e-9) & (self.rep[i] != self.rep[j])
+            self.found.append(np.unique(np.minimum(i[ok], j[ok]) * len(self.rep) + np.maximum(i[ok], j[ok])))
+            self.kept += len(self.found[-1])
+            if self.kept > 2 * KEPT_PAIRS:
+                self.found = [np.unique(np.concatenate(self.found))]
+                self.kept = len(self.found[0])
+
+    def pairs(self) -> pa.RecordBatch:
+        """Those found since the last call that whole sketches don't rule out."""
+        i, j = np.divmod(np.unique(np.concatenate([np.zeros(0, np.int64), *self.found])), len(self.rep))
+        self.found, self.kept = [], 0
+        size = np.array([len(s) for s in self.sketch])
+        size, ok = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+        for words in np.unique(size).tolist():
+            at = np.flatnonzero(size == words)
+            used, x = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+            sketch, (x, y) = np.stack([_folded(self.sketch[k], words) for k in used.tolist()]), np.split(x, 2)
+            step = max(1, (1 << 17) // words)
+            for lo in range(0, len(at), step):
+                part = slice(lo, lo + step)
+                differ = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
+                ok[at[part]] = differ <= self.share * (self.n[i[at[part]]] + self.n[j[at[part]]]) + 1e-9
+        a, b = self.rep[i[ok]], self.rep[j[ok]]
+        return pa.RecordBatch.from_arrays([_long(a), _long(b)], ["a", "b"])
+
+
+@tidy
+def _crossed(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within each block that sketches don't rule out; of a group each pair once.
+
+    Rows come in order of (part, sig, lo, hi): of each group first its
+    documents' sketches, without sig, then its blocks, each of at most two
+    parts of a bucket.
+    """
+    names = ("sig", "lo", "hi", "side", "rep", "label")
+    group: _Group | None = None
+    part, fresh, seen = None, ([], [], []), None
+
+    def blocks(x: dict[str, np.ndarray]) -> None:
         cut_at = np.flatnonzero(np.concatenate(([True], (x["sig"][1:] != x["sig"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1]), [True])))
-        found = [pairs({k: v[s:e] for k, v in x.items()}) for s, e in zip(cut_at[:-1], cut_at[1:], strict=True) if e - s > 1]
-        both = np.unique(np.stack([np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([_long(both[:, 0]), _long(both[:, 1])], ["a", "b"])
+        for s, e in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
+            if e - s > 1:
+                group.add(x["rep"][s:e], x["side"][s:e], x["label"][s:e], bool(x["lo"][s] != x["hi"][s]))
 
     for batch in rows:
-        x = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(batch.schema.names)}
-        if seen is not None:
-            x = {k: np.concatenate((seen[k], v)) for k, v in x.items()}
-        if not len(x["sig"]):
+        if not batch.num_rows:
             continue
-        last = (x["sig"] == x["sig"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
-        first = int(np.argmax(last)) if last.all() else len(last) - int(np.argmax(~last[::-1]))
-        if first:
-            yield done({k: v[:first] for k, v in x.items()})
-        seen = {k: v[first:] for k, v in x.items()}
+        column = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+        parts = column["part"].to_numpy()
+        of_sketch = column["sig"].is_null().to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(np.concatenate(([True], (parts[1:] != parts[:-1]) | (of_sketch[1:] != of_sketch[:-1]), [True]))).tolist()
+        for s, e in zip(runs[:-1], runs[1:], strict=True):
+            own = {k: v.slice(s, e - s) for k, v in column.items()}
+            if parts[s] != part:
+                if seen is not None:
+                    blocks(seen)
+                if group is not None:
+                    yield group.pairs()
+                part, group, seen, fresh = parts[s], None, None, ([], [], [])
+            if of_sketch[s]:
+                fresh[0].append(own["rep"].to_numpy())
+                fresh[1].append(own["n"].to_numpy(zero_copy_only=False).astype(np.int64))
+                fresh[2].extend(np.frombuffer(x, U) for x in own["parity"].to_pylist())
+                continue
+            if group is None:
+                group = _Group(*fresh, share)
+            x = {k: own[k].to_numpy(zero_copy_only=False) for k in names}
+            x = x if seen is None else {k: np.concatenate((seen[k], v)) for k, v in x.items()}
+            last = (x["sig"] == x["sig"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
+            first = int(np.argmax(last))
+            if first:
+                blocks({k: v[:first] for k, v in x.items()})
+                if group.kept > KEPT_PAIRS:
+                    yield group.pairs()
+            seen = {k: v[first:] for k, v in x.items()}
     if seen is not None:
-        yield done(seen)
+        blocks(seen)
+    if group is not None:
+        yield group.pairs()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5, all_links: bool = False) -> DataFrame:
@@ -313,13 +390,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def side(name: str, prefix: str) -> DataFrame:
         return known.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}n"), *(F.col(s).alias(f"{prefix}{s}") for s in _SKETCH))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by their whole shingle sets; finer sketches first, as they are a thirtieth of the sets."""
-        pairs = cut(pairs)
+    def texts(ids: DataFrame) -> DataFrame:
+        return base.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+
+    def finer(ids: DataFrame) -> DataFrame:
+        return cut(texts(ids).mapInArrow(lambda rows: _parities(rows, width), "rep long, n long, parity binary"))
 
-        def texts() -> DataFrame:
-            ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-            return base.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    def checked(pairs: DataFrame, sifted: bool = False) -> DataFrame:
+        """The pairs (a, b), a table that is cut, that link by their whole shingle sets; unless `sifted`, finer sketches first, as they are a thirtieth of the sets."""
 
         def beside(table: DataFrame, *columns: str) -> DataFrame:
             x = table.select(F.col("rep").alias("a"), *(F.col(c).alias(f"x_{c}") for c in columns))
@@ -328,10 +406,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             left = join_hot(pairs, x, ["a"], size=f"x_{columns[-1]}")
             return join_hot(left, y, ["b"], size=f"y_{columns[-1]}", counted=pairs).select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
 
-        finer = cut(texts().mapInArrow(lambda rows: _parities(rows, width), "rep long, n long, parity binary"))
+        def ends() -> DataFrame:
+            return cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+
         with batches_of(docs.sparkSession, PAIR_ROWS):
-            pairs = cut(beside(finer, "n", "parity").mapInArrow(lambda rows: _near(rows, share), "a long, b long").distinct())
-            lists = cut(texts().mapInArrow(lambda rows: _shingle_lists(rows, width), "rep long, shingles binary"))
+            if not sifted:
+                pairs = cut(beside(finer(ends()), "n", "parity").mapInArrow(lambda rows: _near(rows, share), "a long, b long").distinct())
+            lists = cut(texts(ends()).mapInArrow(lambda rows: _shingle_lists(rows, width), "rep long, shingles binary"))
             return cut(beside(lists, "shingles").mapInArrow(lambda rows: _linked(rows, threshold), "a long, b long").distinct())
 
     differ = sum((F.bit_count(F.col(f"p{s}").bitwiseXOR(F.col(f"q{s}"))) for s in _SKETCH), F.lit(0))
@@ -340,17 +421,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     else:
         star = entries.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         star = join_hot(cut(star), side("a", "p"), ["a"]).join(side("b", "q"), "b").where(F.greatest(differ, F.abs(F.col("pn") - F.col("qn"))) <= share * (F.col("pn") + F.col("qn")) + 1e-9).select("a", "b").distinct()
-        links = checked(star)
+        links = checked(cut(star))
         drop_shuffles(docs.sparkSession)
         label = components(links).withColumnRenamed("node", "rep")
         named = cut(entries.join(label, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label")))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high")
-    mixed = cut(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
+    # of buckets with the same members, told by 128 bits, one
+    mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g")).where("low < high")
+    mixed = cut(mixed.groupBy("h", "g", "m").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
     dealt = join_hot(named, mixed, ["sig"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    dealt = dealt.join(known, "rep").select("sig", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label", "n", *_SKETCH)
-    rest = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(lambda rows: _crossed(rows, share), "a long, b long").distinct()
-    links = checked(rest) if links is None else cut(links.union(checked(rest)).distinct())
+    dealt = cut(dealt.select("sig", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label"))
+    groups = max(GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // GROUP_ROWS)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(groups)))
+    sketch = dealt.select("part", "rep").distinct().join(finer(cut(dealt.select("rep").distinct())), "rep").distinct()
+    rest = dealt.unionByName(sketch, allowMissingColumns=True).select("part", "sig", "lo", "hi", "side", "rep", "label", "n", "parity")
+    with batches_of(docs.sparkSession, GROUP_ROWS // 10):
+        rest = cut(rest.repartition("part").sortWithinPartitions("part", "sig", "lo", "hi").mapInArrow(lambda rows: _crossed(rows, share), "a long, b long").distinct())
+    links = checked(rest, sifted=True) if links is None else cut(links.union(checked(rest, sifted=True)).distinct())
 
     label = components(links)
     group = join_hot(reps, label.withColumnRenamed("node", "rep"), ["rep"], "left")

@@ -140,3 +140,44 @@ def test_one_of_each_class_takes_any_column_names(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, near_id long, near_first string")
     got = one_of_each_class(frame)
     assert got.columns == frame.columns and sorted((r.doc_id, r.near_id) for r in got.collect()) == [(1, 7), (3, 9)]
+
+
+def test_large_sets_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    from indexalg.llm import ngram_jaccard_join
+
+    r = random.Random(6)
+    passage, made, cut = [f"p{k}" for k in range(1500)], [], ngram_jaccard_join.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard_join, "cut", counted)
+    rows = [(k, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(500)])) for k in range(60)]
+    rows.append((60, rows[41][1] + " one more"))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), all_links=True).collect()  # all pairs of a bucket are compared, none first with its smallest
+    assert {x.doc_id: (x.component_id, x.n_links) for x in got} == {k: (41 if k == 60 else k, int(k in (41, 60))) for k in range(61)}
+    assert max(made) <= 2 * len(rows), made  # no two but 41 and 60 link; all pairs are 1,830
+
+
+def test_empty_texts_of_a_shared_id_do_not_link(spark):
+    r = random.Random(7)
+    passage = [f"p{k}" for k in range(357)]  # sets of 400, of which 353 are shared: 78.97 percent, which sketches let pass
+    rows = [(k, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(47)])) for k in range(6)] + [(k, "") for k in range(6)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.component_id for x in got if x.n_shingles} == set(range(6))
+
+
+def test_pairs_of_a_group_are_sifted_in_turns(spark):
+    from indexalg.llm import ngram_jaccard_join as J
+
+    sets = [np.unique(np.random.default_rng(k // 3).integers(0, 2**64, 700 + k % 3, dtype=np.uint64)) for k in range(9)]
+    parity = [np.packbits((np.bincount((J.mix(v ^ J.U(0x2545F491)) & J.U(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8), bitorder="little").view(J.U) for v in sets]
+    group = J._Group([np.arange(9)], [np.array([len(v) for v in sets])], parity, 1 / 9)
+    for members in ([0, 1, 2, 3], [0, 1, 2, 4], [3, 4, 5]):
+        group.add(np.array(members), np.zeros(len(members), int), np.array(members), False)
+    x = group.pairs()
+    assert sorted(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)) == [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
+    assert group.pairs().num_rows == 0
