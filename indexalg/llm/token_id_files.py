@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ class WordEncoder:
             ids[p] = self.feed.join([ids[x[0]], *(bare[y] for y in x[1:])])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.composed:
+        if not self.composed or not texts:
             return self._encode(texts)
         if not self.core and len(self.ids) > CORE:
             self.core = dict(self.ids)
@@ -124,24 +125,45 @@ class WordEncoder:
             self.ids = dict(self.core)
         if len(self.bare) > CORE:
             self.bare = {"": b""}
-        pieces = [t.split(" ") for t in texts]
-        heads = [x.pop(0) for x in pieces]
-        tails = [x.pop() if x and x[-1][-1:].isspace() else None for x in pieces]
-        distinct = set().union(*pieces)
-        self._learn(distinct.difference(self.ids))
+        # Arrow splits, numbers the distinct pieces and strings their ids together; Python sees each distinct piece once
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, coded = parts.offsets.to_numpy().astype(np.int64), parts.flatten().dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # joined and split at spaces, which none holds: faster than to_pylist()
+        words = pc.binary_join(pa.LargeListArray.from_arrays([0, len(distinct)], distinct), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        first, last = bounds[:-1], bounds[1:] - 1
+        heads, ends = [words[k] for k in at[first].tolist()], [words[k] for k in at[last].tolist()]
+        tails = [k for k, (e, a, b) in enumerate(zip(ends, first.tolist(), last.tolist(), strict=True)) if a < b and e[-1:].isspace()]
+        inner = np.ones(len(at), bool)
+        inner[first] = inner[last[tails]] = False
+        used = np.zeros(len(words), bool)
+        used[at[inner]] = True
+        used = np.flatnonzero(used).tolist()
+        mine = [words[k] for k in used] if len(used) < len(words) else words
+        found = list(map(self.ids.get, mine))
+        unknown = [k for k, x in enumerate(found) if x is None]
+        self._learn({mine[k] for k in unknown if mine[k] not in self.ids})
+        for k in unknown:
+            found[k] = self.ids[mine[k]]
         self._learn_bare(set(heads))
-        # looking up in a small dictionary is faster, and most pieces stand in the texts many times
-        at, out = dict(zip(distinct, map(self.ids.__getitem__, distinct), strict=True)).__getitem__, []
-        for t, x, head, tail in zip(texts, pieces, heads, tails, strict=True):
-            whole = any(s in t for s in self.special) or (len(head) < len(t) and head != "" and _blank(head[-1]))
-            if not whole:
-                try:
-                    out.append(self.bare[head] + b"".join(map(at, x)) + (b"" if tail is None else self._encode([f" {tail}"])[0]))
-                    continue
-                except TypeError:  # a None: the library sees the text as it is
-                    pass
-            out.append(self._encode([t])[0])
-        return out
+        whole = [any(s in t for s in self.special) or (len(head) < len(t) and head != "" and _blank(head[-1])) for t, head in zip(texts, heads, strict=True)]
+        uncut = [used[k] for k in unknown if found[k] is None]
+        if uncut:  # the library sees such a text as it is
+            bad = np.zeros(len(words), bool)
+            bad[uncut] = True
+            for k in (np.searchsorted(bounds, np.flatnonzero(bad[at] & inner), "right") - 1).tolist():
+                whole[k] = True
+        ids = np.full(len(words), b"", object)
+        ids[used] = found
+        ids = ids.tolist() + [self.bare[head] for head in heads]
+        at[first] = np.arange(len(words), len(ids))
+        tails = [k for k in tails if not whole[k]]
+        at[last[tails]] = np.arange(len(ids), len(ids) + len(tails))
+        ids += self._encode([f" {ends[k]}" for k in tails])
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        cuts = np.frombuffer(joined.buffers()[1], np.int64, len(at) + 1)[bounds].tolist()
+        raw = memoryview(joined.buffers()[2] or b"")
+        return [self._encode([t])[0] if w else bytes(raw[a:b]) for t, w, a, b in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
 
 
 def composes(vocabulary: dict) -> bool:
@@ -165,7 +187,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for hi, t in enumerate(texts):
         size += len(t)
@@ -182,8 +204,8 @@ def _written(rows: Iterator[pa.RecordBatch], vocabulary: str, folder: str, kind:
     nulls = 0
     for batch in rows:
         keys = batch.column(0)
-        for lo in range(0, batch.num_rows, 1024):
-            texts = [t or "" for t in batch.column(1).slice(lo, 1024).to_pylist()]
+        for lo in range(0, batch.num_rows, 2048):
+            texts = [t or "" for t in batch.column(1).slice(lo, 2048).to_pylist()]
             for a, b in _groups(texts):
                 if writer is None:
                     encoder, out = word_encoder(vocabulary), NewFile(folder, ".planes")

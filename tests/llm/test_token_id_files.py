@@ -115,3 +115,26 @@ def test_other_vocabularies_encode_whole_texts():
     encoder.composed = False
     texts = odd_texts(50)
     assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_are_not_looked_up_one_by_one():
+    import time
+
+    r = random.Random(1)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(r.choices(words, k=600)) for _ in range(500)]
+    encoder = M.WordEncoder(PATH)
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder(texts) == want and encoder([]) == []
+
+    def least(f):
+        times = []
+        for _ in range(9):
+            began = time.thread_time()
+            f()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    ids = dict.fromkeys(words, b"")
+    one_by_one = least(lambda: [b"".join(map(ids.__getitem__, t.split(" "))) for t in texts])
+    assert least(lambda: encoder(texts)) < one_by_one
