@@ -69,6 +69,8 @@ FAN = 8
 COUNTED = 1_000_000
 #: Tokens scored at once.
 CHUNK = 1 << 12
+#: Rows of a run that are added one after the other; at most 255.
+RUN = 16
 
 
 class Network:
@@ -104,18 +106,18 @@ class Network:
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token given its context, one row of `context` per offset."""
         order = _order(token)
-        token = token[order]
-        h = self._hidden(context[:, order])
+        token = token[order].astype(np.int64)
+        h = self._hidden(_picked(context, order))
         group, member, each = token // MEMBERS, token % MEMBERS, np.arange(len(token))
         z = h @ self.w["to_class"]
         z += self.w["class_bias"]
         found = z[each, group]
         found -= _log_sum(z)
-        z = self.w["member_bias"].take(group, axis=0)
         end = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         for c in range(CLASSES):
             if end[c] < end[c + 1]:
-                z[end[c] : end[c + 1]] += h[end[c] : end[c + 1]] @ self.w["to_member"][c]
+                np.matmul(h[end[c] : end[c + 1]], self.w["to_member"][c], out=z[end[c] : end[c + 1]])
+        z += self.w["member_bias"].take(group, axis=0)
         found += z[each, member]
         found -= _log_sum(z)
         out = np.empty_like(found)
@@ -123,49 +125,90 @@ class Network:
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, sums: dict[str, np.ndarray]) -> None:
-        """One Adagrad step; `sums` holds the sums of squared gradients."""
+        """One Adagrad step on tokens in ascending order; `sums` holds the sums of squared gradients."""
         w = self.w
-        order = _order(token)
-        context, token = context[:, order], token[order]
         h = self._hidden(context)
-        group, member, each = token // MEMBERS, token % MEMBERS, np.arange(len(token))
+        token = token.astype(np.int64)
+        group, member, each, ones = token // MEMBERS, token % MEMBERS, np.arange(len(token)), np.ones(len(token), np.float32)
         z = h @ w["to_class"]
         z += w["class_bias"]
         p = _shares(z)
         p[each, group] -= 1
         back = p @ w["to_class"].T
-        grad = {"to_class": h.T @ p, "class_bias": p.sum(0), "to_member": np.zeros_like(w["to_member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        grad = {"to_class": h.T @ p, "class_bias": ones @ p, "to_member": np.zeros_like(w["to_member"]), "member_bias": np.zeros_like(w["member_bias"])}
         # the tokens are in order, so those of a class lie together
         end = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         own = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(end[:-1], end[1:], strict=True)) if lo < hi]
-        z = w["member_bias"].take(group, axis=0)
         for c, of in own:
-            z[of] += h[of] @ w["to_member"][c]
+            np.matmul(h[of], w["to_member"][c], out=z[of])
+        z += w["member_bias"].take(group, axis=0)
         p = _shares(z)
         p[each, member] -= 1
+        of_member = np.empty_like(back)
         for c, of in own:
-            back[of] += p[of] @ w["to_member"][c].T
+            np.matmul(p[of], w["to_member"][c].T, out=of_member[of])
             np.matmul(h[of].T, p[of], out=grad["to_member"][c])
-        grad["member_bias"][[c for c, _ in own]] = np.add.reduceat(p, [of.start for _, of in own], axis=0)
+            np.matmul(ones[of], p[of], out=grad["member_bias"][c])
+        back += of_member
         h *= h
         back *= np.subtract(1, h, out=h)
-        grad["hidden_bias"] = back.sum(0)
+        grad["hidden_bias"] = ones @ back
         for k, g in grad.items():
             square = g * g
             sums[k] += square
             g *= RATE
             g /= np.sqrt(sums[k], out=square)
             w[k] -= g
-        for k in range(len(OFFSETS)):
-            rows = np.flatnonzero(np.bincount(context[k], minlength=TOKENS + 1))
-            g = np.bincount((context[k][:, None] * WIDTH + np.arange(WIDTH)).ravel(), weights=back.ravel(), minlength=(TOKENS + 1) * WIDTH)
-            g = g.reshape(TOKENS + 1, WIDTH).take(rows, axis=0).astype(np.float32)
-            total = sums["embed"][k].take(rows, axis=0)
-            total += g * g
-            sums["embed"][k][rows] = total
-            g *= RATE
-            g /= np.sqrt(total, out=total)
-            w["embed"][k][rows] -= g
+        # the embeddings of all offsets as one table, of which a step sees few rows
+        embed, squares = w["embed"].reshape(-1, WIDTH), sums["embed"].reshape(-1, WIDTH)
+        rows, g = _embed_gradient(context, back)
+        square = g * g
+        square += squares.take(rows, axis=0)
+        squares[rows] = square
+        g *= RATE
+        g /= np.sqrt(square, out=square)
+        embed[rows] = np.subtract(embed.take(rows, axis=0), g, out=g)
+
+
+def _picked(context: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The columns `which`; all neighbours of a token are copied at once where they lie together."""
+    return context.T.take(which, axis=0).T
+
+
+def _embed_gradient(context: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of the embeddings of all offsets that `context` names, of each the sum of the rows of `back` of the tokens that name it)."""
+    key = (context + _OFFSET_ROWS).astype(np.uint16).ravel()
+    order = _order(key)
+    key = key[order]
+    begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    by, total = _run_sums(back, order % context.shape[1], begin)
+    return key[begin[by]].astype(np.int64), total
+
+
+_OFFSET_ROWS = np.arange(len(OFFSETS), dtype=np.int32)[:, None] * (TOKENS + 1)
+
+
+def _run_sums(table: np.ndarray, of: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs in another order, of each the sum of the rows of `table` that `of` names from the run's begin to the next).
+
+    Runs of up to RUN rows are summed side by side, the longest first, so that
+    those with an r-th row are always a prefix; longer ones are cut into such,
+    whose sums are summed in their turn.
+    """
+    count = np.diff(begin, append=len(of))
+    if count.max() > RUN:
+        parts = -(-count // RUN)
+        first = np.cumsum(parts) - parts
+        by, sums = _run_sums(table, of, np.repeat(begin, parts) + RUN * (np.arange(parts.sum()) - np.repeat(first, parts)))
+        at = np.empty_like(by)
+        at[by] = np.arange(len(by))
+        return _run_sums(sums, at, first)
+    by = np.argsort((RUN - count).astype(np.uint8), kind="stable")
+    begin = begin[by]
+    total = table.take(of[begin], axis=0)
+    for r, runs in enumerate((len(count) - np.cumsum(np.bincount(count)))[1:-1].tolist(), 1):
+        total[:runs] += table.take(of[begin[:runs] + r], axis=0)
+    return by, total
 
 
 def _order(tokens: np.ndarray) -> np.ndarray:
@@ -203,10 +246,11 @@ class Vocabulary:
         #: Of each shared token, how often its words occur.
         self.totals = np.zeros(RARE)
         self.know(frequent[:0], np.zeros(0, np.int64), 0)
-        self.order = np.argsort(frequent)
-        self.sorted = frequent[self.order]
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(frequent & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.frequent = frequent
+        # the most frequent word that ends in these 16 bits, and after each word the next that ends in the same
+        self.slot, self.next = np.full(1 << 16, -1, np.int16), np.full(len(frequent), -1, np.int16)
+        for k, at in reversed(list(enumerate((frequent & np.uint64(0xFFFF)).tolist()))):
+            self.next[k], self.slot[at] = self.slot[at], k
 
     def know(self, words: np.ndarray, n: np.ndarray, least: int) -> None:
         """Takes in all words that occur `least` times or more."""
@@ -224,24 +268,32 @@ class Vocabulary:
 
     def tokens(self, words: np.ndarray) -> np.ndarray:
         out = TOKENS - RARE + (mix(words) % np.uint64(RARE)).astype(np.int64)
-        if len(self.sorted):
-            maybe = np.flatnonzero(self.quick[(words & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.sorted, words[maybe]), len(self.sorted) - 1)
-            ok = self.sorted[at] == words[maybe]
-            out[maybe[ok]] = self.order[at[ok]]
+        at = self.slot.take((words & np.uint64(0xFFFF)).astype(np.int64))
+        maybe = np.flatnonzero(at >= 0)
+        at = at[maybe]
+        while len(maybe):
+            ok = self.frequent.take(at) == words[maybe]
+            out[maybe[ok]] = at[ok]
+            at = self.next.take(at)
+            more = ~ok & (at >= 0)
+            maybe, at = maybe[more], at[more]
         return out
 
 
 def contexts(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Per offset, each token's neighbour there; EDGE beyond its document."""
-    end = np.repeat(np.cumsum(count), count)
-    begin = end - np.repeat(count, count)
-    at = np.arange(len(tokens))
-    out = np.full((len(OFFSETS), len(tokens)), EDGE, np.int64)
+    """Per offset, each token's neighbour there; EDGE beyond its document. A token's neighbours lie together."""
+    out = np.full((len(tokens), len(OFFSETS)), EDGE, np.int16)
+    end = np.cumsum(count)
     for k, offset in enumerate(OFFSETS):
-        ok = (at + offset >= begin) & (at + offset < end)
-        out[k, ok] = tokens[at[ok] + offset]
-    return out
+        far = abs(offset)
+        if offset > 0:
+            out[:-far, k] = tokens[far:]
+        else:
+            out[far:, k] = tokens[:-far]
+        for j in range(far):  # the j-th token from an end has a neighbour of another document there
+            has = count > j
+            out[(end - 1 - j if offset > 0 else end - count + j)[has], k] = EDGE
+    return out.T
 
 
 @tidy
@@ -361,7 +413,7 @@ def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator
         trainer, lead, tail = (batch.column(k).to_numpy() for k in (1, 4, 5))
         raw = batch.column(6).cast(pa.large_binary())
         off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 2
-        tokens = np.frombuffer(raw.buffers()[2], np.int16)[off[0] : off[-1]].astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+        tokens = np.frombuffer(raw.buffers()[2], np.int16)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.int16)
         off, at = off - off[0], 0
         while at < len(raw):
             if now != trainer[at]:
@@ -371,10 +423,13 @@ def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator
             to = max(at + 1, int(np.searchsorted(off, off[at] + SHUFFLED, side="right")) - 1)
             to = min(to, at + int(np.searchsorted(trainer[at:], now, side="right")))
             own, count = tokens[off[at] : off[to]], np.diff(off[at : to + 1])
-            place = np.arange(len(own)) - np.repeat(off[at:to] - off[at], count)
-            target = np.flatnonzero((place >= np.repeat(lead[at:to], count)) & (place < np.repeat(count - tail[at:to], count)))
-            waiting.append((contexts(own, count)[:, target], own[target]))
-            size, at = size + len(target), to
+            context = contexts(own, count)
+            if lead[at:to].any() or tail[at:to].any():
+                place = np.arange(len(own)) - np.repeat(off[at:to] - off[at], count)
+                target = np.flatnonzero((place >= np.repeat(lead[at:to], count)) & (place < np.repeat(count - tail[at:to], count)))
+                context, own = _picked(context, target), own[target]
+            waiting.append((context, own))
+            size, at = size + len(own), to
             if size >= SHUFFLED:
                 go()
     end()
@@ -383,11 +438,12 @@ def _trained(rows: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator
 
 
 def _pass(network: Network, sums: dict, waiting: list) -> int:
-    context, token = np.concatenate([x[0] for x in waiting], 1), np.concatenate([x[1] for x in waiting])
+    context, token = np.concatenate([x[0].T for x in waiting]).T, np.concatenate([x[1] for x in waiting])
     order = np.random.default_rng(len(token)).permutation(len(token))
     for lo in range(0, len(token), BATCH):
         own = order[lo : lo + BATCH]
-        network.train(context[:, own], token[own], sums)
+        own = own[_order(token[own])]
+        network.train(_picked(context, own), token[own], sums)
     return len(token)
 
 
